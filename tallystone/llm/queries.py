@@ -17,6 +17,25 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import report
+
+    return report(documents(spark, sf_dir))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify
+
+    return identify(documents(spark, sf_dir)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -29,8 +48,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(documents(spark, sf_dir), digest=True)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op8_pack, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op2_secrets, op5_language, op7_quality, op8_pack, op9_bpe, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .common import ready, written
 from .language import held_out
 
-NAMES = ("length", "word", "upper", "mark", "digit", "distinct", "top", "again", "line_again", "marked_words", "bars", "triple", "capital_words", "ends", "spread")
+NAMES = ("length", "word", "upper", "mark", "distinct", "top", "again", "line_again", "marked_words", "bars", "triple", "capital_words", "ends", "spread")
 #: Shares of the pooled covariance and of the identity in a class's covariance.
 POOL, RIDGE = 0.1, 0.02
+#: Usual words added to every text, so that a short one isn't odd for being short.
+PRIOR = 15
 THRESHOLD = 0.7
 _KIND = np.zeros(256, np.int64)  # 1 upper, 2 lower, 3 digit, 4 mark, 5 white space, 0 other bytes
 _KIND[65:91], _KIND[97:123], _KIND[48:58] = 1, 2, 3
@@ -38,7 +40,7 @@ def statistics(text: str | None) -> list[float]:
     n, w = max(1, len(b)), max(1, len(words))
     each = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     kinds = np.bincount(_KIND, each, 6)
-    letters = max(1.0, kinds[1] + kinds[2] + kinds[0])
+    letters = kinds[1] + kinds[2] + kinds[0]
     counts = Counter(words)
     lines = [x for x in b.split(b"\n") if x]
     sizes = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
@@ -48,29 +50,29 @@ def statistics(text: str | None) -> list[float]:
     caps = sum(map(bytes.isupper, words))
     adjacent = sum(map(operator.eq, words, words[1:]))
     marked = sum(x[-1:] in _TAIL for x in words)
+    share = lambda x, usual=0.0: low((x + PRIOR * usual) / (w + PRIOR))
+    chars = 6 * PRIOR
     return [
-        float(np.log(n)),
-        float(np.log(sizes.mean() + 1)),
-        low(kinds[1] / letters),
-        low(rare / n),
-        low(kinds[3] / n),
-        # distinct words by Heaps' law, so that long texts compare with short ones
-        float(np.log(len(counts) + 1) / np.log(w + 2)),
-        low(max(counts.values(), default=0) / (w + 5)),
-        low(adjacent / w),
-        low(1 - len(set(lines)) / max(1, len(lines))),
-        low(marked / w),
-        low(each[124] / w),
-        low(sum(len(x) > 2 and x[-1] == x[-2] == x[-3] for x in words) / w),
-        low(caps / w),
-        low(ends / w),
-        float(np.log(sizes.std() + 1)),
+        float(np.log(n + 300)),
+        float(np.log((sizes.sum() + 6 * PRIOR) / (w + PRIOR))),
+        low((kinds[1] + 0.03 * chars) / (letters + chars)),
+        low(rare / (n + chars)),
+        float(np.log((len(counts) + PRIOR) / (w + PRIOR))),
+        share(max(counts.values(), default=0)),
+        share(adjacent),
+        low((len(lines) - len(set(lines))) / (len(lines) + 3)),
+        share(marked),
+        low(each[124] / (w + PRIOR)),
+        share(sum(len(x) > 2 and x[-1] == x[-2] == x[-3] for x in words)),
+        share(caps),
+        share(ends, 0.1),
+        float(np.log((sizes.var() * w + 9 * PRIOR) / (w + PRIOR))),
     ]
 
 
 _TAIL = {bytes([i]) for i in _RARE}
 D = len(NAMES)
-FEATURES = f"`at` array<double>"
+FEATURES = "`at` array<double>"
 
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:

@@ -23,12 +23,24 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import held_out, identify
 
     return identify(documents(spark, sf_dir)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import held_out
     from .quality import quality
@@ -55,7 +67,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secrets, op5_language, op7_quality, op8_pack, op9_bpe, op10_minhash)}
+    return {f.__name__: f for f in (op1_token_store, op2_secrets, op4_vectors, op5_language, op6_fingerprints, op7_quality, op8_pack, op9_bpe, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

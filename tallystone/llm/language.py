@@ -132,7 +132,7 @@ class Model:
 _models: dict[str, Model] = {}
 
 
-def learn(docs: DataFrame, train: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+def learn(train: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """Counts for Model from the rows of train (doc_id, text, lang; no nulls in text and lang).
 
     The driver gets the distinct grams of at most about train_docs texts a language.
@@ -174,37 +174,62 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, keep: tuple[str, ...] = (), train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """lang_pred and score for each row of doc_id, text, with the columns in keep.
-
-    Learns from rows with text and lang that aren't held out.  A text that is null, empty or
-    without a letter is `und` with score 0, and so is every text if nothing could be learned.
-    score is the winner's share of 2^-bits over all languages.  Ties go to the first
-    language by name.  Rows are independent; other columns are not read.
-    """
+def predictor(docs: DataFrame, train_docs: int = TRAIN_DOCS):
+    """Learn from docs; gives a function from texts to languages and scores, to run on executors."""
     ready(docs.sparkSession)
     train = docs.where(~held_out()).where("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    learned = docs.sparkSession.sparkContext.broadcast(learn(docs, train, train_docs))
-    key, out = uuid.uuid4().hex, list(dict.fromkeys(["doc_id", *keep]))
+    learned = docs.sparkSession.sparkContext.broadcast(learn(train, train_docs))  # bounded by train_docs
+    key = uuid.uuid4().hex
 
-    def run(rows):
-        got = learned.value
+    def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if key not in _models:
+            got = learned.value
             _models.clear()
             _models[key] = Model(got["languages"], got["lang"], got["gram"], got["count"]) if got["languages"] else None
         model = _models[key]
+        texts = [t if t and LETTER.search(t) else "" for t in texts]
+        pred, score = ["und"] * len(texts), np.zeros(len(texts))
+        if model is not None and texts:
+            bits = model.bits(texts)
+            best = bits.argmin(1)
+            share = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
+            for i, t in enumerate(texts):
+                if t:
+                    pred[i], score[i] = model.languages[best[i]], share[i]
+        return pred, score
+
+    return predict
+
+
+OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+
+
+def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """doc_id, lang_pred, score for each row of doc_id, text, lang.
+
+    Learns from rows with text and lang that aren't held out.  A text that is null, empty or
+    without a letter is `und` with score 0, and so is every text if nothing could be learned.
+    score is the winner's share of 2^-bits over all languages.  Ties go to the first
+    language by name.  Rows are independent; null ids and repeated rows stay, other columns
+    are not read.
+    """
+    predict = predictor(docs, train_docs)
+
+    def run(rows):
+        for b in rows:
+            pred, score = predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=OUT)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, least: float = 0.5, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows whose language is one of those learned, with a score of at least `least`; all columns, unchanged."""
+    predict = predictor(docs, train_docs)
+
+    def run(rows):
         for b in rows:
-            texts = [t if t and LETTER.search(t) else "" for t in b.column("text").to_pylist()]
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            if model is not None and texts:
-                bits = model.bits(texts)
-                best = bits.argmin(1)
-                share = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
-                for i, t in enumerate(texts):
-                    if t:
-                        pred[i], score[i] = model.languages[best[i]], share[i]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in out), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*out, "lang_pred", "score"])
-
-    d = docs.select(*dict.fromkeys([*out, "text"]))
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
-    return d.mapInArrow(run, ", ".join([f"`{n}` {kinds[n]}" for n in out] + ["lang_pred string", "score double"]))
+            pred, score = predict(b.column("text").to_pylist())
+            yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -72,19 +72,17 @@ def statistics(text: str | None) -> list[float]:
 
 _TAIL = {bytes([i]) for i in _RARE}
 D = len(NAMES)
-FEATURES = "`at` array<double>"
 
 
-def with_statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    d = docs.select(*dict.fromkeys([*keep, "text"]))
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and at, the transformed statistics."""
 
     def run(rows):
         for b in rows:
             at = [statistics(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(at, pa.list_(pa.float64()))], names=[*keep, "at"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(at, pa.list_(pa.float64()))], names=["doc_id", "at"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
-    return d.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [FEATURES]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at array<double>")
 
 
 class Discriminant:
@@ -173,18 +171,31 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     without a document, null labels and other columns are not used.
     """
     ready(docs.sparkSession)
-    features = written(with_statistics(docs, ("doc_id",)), "statistics")
-    return scored(features, fit(features, labels), threshold)
+    features = written(with_statistics(docs), "statistics")
+    model = fit(features, labels)
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
+    def run(rows):
+        for b in rows:
+            if b.num_rows:
+                s = model.score(np.array(b.column("at").to_pylist(), np.float64).reshape(-1, D))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema)
+
+    return features.mapInArrow(run, "doc_id long, score double, predicted int")
 
-def scored(features: DataFrame, model: Discriminant, threshold: float) -> DataFrame:
-    keep = [c for c in features.columns if c != "at"]
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows that score at least `least`; all columns, unchanged.
+
+    Lower than the threshold of a report: what is doubtful stays.
+    """
+    ready(docs.sparkSession)
+    model = fit(with_statistics(docs), labels)
 
     def run(rows):
         for b in rows:
             if b.num_rows:
-                s = model.score(np.array(b.column("at").to_pylist(), np.float64).reshape(-1, D))
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+                s = model.score(np.array([statistics(t) for t in b.column("text").to_pylist()], np.float64))
+                yield b.filter(pa.array(s >= least))
 
-    kinds = {f.name: f.dataType.simpleString() for f in features.schema}
-    return features.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double", "predicted int"]))
+    return docs.mapInArrow(run, docs.schema)

@@ -23,6 +23,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_vectors
 
@@ -67,7 +73,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secrets, op4_vectors, op5_language, op6_fingerprints, op7_quality, op8_pack, op9_bpe, op10_minhash)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_store, op2_secrets, op3_main_text, op4_vectors, op5_language, op6_fingerprints, op7_quality, op8_pack, op9_bpe, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

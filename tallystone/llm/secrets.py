@@ -132,17 +132,30 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, text, the columns to keep, base and spans (arrays of start, kind, end by start and kind).
+def found(text: Column) -> Column:
+    """struct<base, spans> of a text that isn't null."""
+    return let(base_spans(text), lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, let(b, lambda c: entropy_spans(text, c)))).alias("spans")))
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, text, base and spans (arrays of start, kind, end by start and kind; kind is a place in KINDS).
 
     A null text is searched as an empty one and stays null.  Rows are independent: null ids
-    and repeated rows change nothing, and an empty table gives an empty one.
+    and repeated rows change nothing, an empty table gives an empty one, other columns are
+    not read.
     """
-    d = docs.select("doc_id", "text", *keep, F.struct(F.coalesce("text", F.lit("")).alias("t")).alias("__in"))
-    text = F.col("__in.t")
-    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, let(b, lambda c: entropy_spans(text, c)))).alias("spans")))
-    d = d.select("doc_id", "text", *keep, both.alias("__found"))
-    return d.select("doc_id", "text", *keep, F.col("__found.base").alias("base"), F.col("__found.spans").alias("spans"))
+    d = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("__text"))
+    d = d.select("doc_id", "text", found(F.col("__text")).alias("__found"))
+    return d.select("doc_id", "text", F.col("__found.base").alias("base"), F.col("__found.spans").alias("spans"))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """All rows and columns, with each span of text replaced; n_chars, where there is one, follows."""
+    d = docs.withColumn("__spans", found(F.coalesce("text", F.lit("")))["spans"])
+    d = d.withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("__spans"))))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ sketches agree in a coordinate with about the sets' similarity, concentrated as
 independent hashes.
 
 Documents with equal shingle sets form a class first and only its smallest doc_id goes on.
-Bands of equal coordinates give buckets.  In a bucket one hub is compared with all others;
-buckets that then still join several components go on, with the hubs taken out, and with
-four times as many hubs each time, until no two members of different components are left
-uncompared.  So no bucket's pairs are emitted at large, and none is given up.  Every link
-is confirmed on the full sets of both texts.
+Bands of equal coordinates give buckets.  A bucket's hub is its most central member, the
+one with the most company over all its buckets, and is compared with all others.  Buckets
+that then still join several components go on: small ones by their pairs, larger ones by
+clusters of all buckets with one hub.  A cluster is dealt in blocks, what its largest part
+already joins apart from the rest, and each task compares a block of the rest with another
+block by sketches and then by full sets, and returns a forest of links, not its pairs.  A
+pair of several clusters is compared in the first.  So no two members of a bucket are left
+uncompared unless they are joined already, and every link is confirmed on both full sets.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import components, ready, written
 
 T, ROWS, BANDS = 128, 4, 32
-#: Pairs whose sketches agree in fewer coordinates than this share are not compared; true pairs of 0.8 fall below it once in 1e7.
-LEAST = 0.6
-#: Buckets up to this size are finished by comparing all their pairs.
-SMALL = 12
+#: Pairs whose sketches agree in fewer coordinates than this share are not compared; true pairs of 0.8 fall below it about once in 1e5.
+LEAST = 0.65
+#: Buckets up to this size are finished by comparing all their pairs, larger ones in blocks of about so many.
+SMALL, BLOCK = 8, 1024
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,6 +153,55 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, pe
     return full.select("a", "b", "ta", "tb").mapInArrow(same, "a long, b long")
 
 
+def compared(many: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """A forest of the links between different components c among the docs of each hub; many: distinct (hub, doc, c)."""
+    parts = many.groupBy("hub", "c").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("hub").agg(F.max(F.struct("size", "c")).alias("top"), F.sum("size").alias("all"))
+    largest = largest.select("hub", F.col("top.c").alias("top"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("rest")).where("rest > 0")
+    m = many.join(largest, "hub")
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("c") == F.col("top"), F.col("main")).otherwise(F.col("rest"))).cast("int")
+    m = m.withColumn("block", F.when(F.col("c") == F.col("top"), own).otherwise(F.col("main") + own))
+    hubs = many.groupBy("doc").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most
+    blocks = F.when(F.col("c") == F.col("top"), F.sequence("main", F.col("main") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("main") + F.col("rest") - 1))
+    m = m.select("hub", "doc", "c", "block", F.explode(blocks).alias("other")).select("hub", "doc", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    m = m.join(hubs, "doc").join(sketches.select(F.col("doc_id").alias("doc"), "sketch"), "doc").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+
+    def block(t: pa.Table) -> pa.Table:
+        doc, c, where = (t.column(n).to_numpy() for n in ("doc", "c", "block"))
+        here, i, j = t.column("hub")[0].as_py(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(len(doc), T)
+        hubs, text, known = [set(x) for x in t.column("hubs").to_pylist()], t.column("text"), {}
+        a, b = np.flatnonzero(where == i), np.flatnonzero(where == j)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        def of(x: int) -> np.ndarray:
+            if x not in known:
+                known[x] = shingles(text[x].as_py(), k)
+            return known[x]
+
+        out: list[tuple[int, int]] = []
+        for x in a.tolist():
+            alike = (s[b] == s[x]).mean(1)
+            for y in b[(alike >= LEAST) & (c[b] != c[x]) & ((doc[b] > doc[x]) | (i != j))].tolist():
+                u, v = find(int(c[x])), find(int(c[y]))
+                if u == v or min(hubs[x] & hubs[y]) < here:
+                    continue
+                p, q = of(x), of(y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both and 100 * both >= percent * (len(p) + len(q) - both):
+                    root[max(u, v)] = min(u, v)
+                    out.append((min(int(doc[x]), int(doc[y])), max(int(doc[x]), int(doc[y]))))
+        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=PAIR)
+
+    return m.groupBy("hub", "i", "j").applyInArrow(block, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of doc_id, text.
 
@@ -165,29 +217,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(nodes.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(nodes.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sketch", "keys"), "representatives")
     rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    buckets = rows.groupBy("key").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    member = written(rows.join(buckets, "key"), "members")
-    wanted = member.select(F.col("doc").alias("doc_id")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    links = written(verified(member.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), reps, texts, k, percent), "links")
-    member, hubs = member.where("doc <> hub").select("key", "doc"), 4
-    while True:
-        comp = components(links, "a", "b")
-        state = member.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-        open_ = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-        state = written(state.join(open_, "key"), "open")
-        if state.isEmpty():
-            break
-        few = state.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc", "c"))).alias("x"))
-        few = few.select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).where("l.doc < r.doc and l.c <> r.c").select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"))
-        many = state.where(F.col("n") > SMALL)
-        chosen = many.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("doc", "c")).alias("h")).select("key", F.col("h.doc").alias("hub"), F.col("h.c").alias("hc"))
-        pairs = many.join(chosen, "key").where("c <> hc").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
-        found = verified(few.unionByName(pairs).distinct(), reps, texts, k, percent)
-        links = written(links.unionByName(found), "links")
-        member = many.select("key", "doc").join(chosen.select("key", F.col("hub").alias("doc")), ["key", "doc"], "left_anti")
-        hubs *= 4
+    member = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "members")
+    central = member.groupBy("doc").agg(F.sum("n").alias("company"))
+    hubs = member.join(central, "doc").groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("doc").alias("d"))).alias("h")).select("key", F.bitwise_not("h.d").alias("hub"))
+    member = written(member.join(hubs, "key"), "members")
+    texts = written(docs.join(member.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+    star = member.where("doc <> hub").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+    links = written(verified(star, reps, texts, k, percent), "links")
+    comp = components(links, "a", "b").withColumnRenamed("id", "doc")
+    state = member.join(comp, "doc", "left").select("key", "doc", "hub", "n", F.coalesce("component", "doc").alias("c"))
+    several = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    state = written(state.where("n > 2").join(several, "key", "left_semi"), "open")
+    few = state.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("doc", "c")).alias("x"))
+    few = few.select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).where("l.doc < r.doc and l.c <> r.c").select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"))
+    many = state.where(F.col("n") > SMALL).select("hub", "doc", "c").distinct()
+    found = verified(few.distinct(), reps, texts, k, percent).unionByName(compared(many, reps, texts, k, percent))
+    links = written(links.unionByName(found), "links")
+    comp = components(links, "a", "b")
 
     of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_hash").join(of, "set_hash", "left")

@@ -1,4 +1,7 @@
-"""What built-in functions can't express: display width, a seeded generator, diffs, JSON shapes.  Arrow batches only."""
+"""What built-in functions can't express: display width, a seeded generator, diffs, JSON shapes.  Arrow batches only.
+
+Types are objects, not strings, as executors import this module without a session.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = (1 << 64) - 1
 
@@ -31,7 +35,7 @@ def width(text: str, tab: int = 4) -> int:
     return at
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def display_width(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else width(t)).astype("Int32")
 
@@ -90,7 +94,7 @@ def shape(value: object, path: str = "") -> list[str]:
     return sorted(set(out))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_shape(text: pd.Series) -> pd.Series:
     """Null for what isn't JSON."""
 

@@ -182,8 +182,9 @@ def repeats_in_order(rows: DataFrame, chain: Sequence[str], order: Sequence[str]
 
 
 def shingles(tokens: Column, k: int) -> Column:
-    """Runs of k tokens."""
-    return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: F.slice(tokens, i + 1, F.lit(k)))).otherwise(F.array().cast("array<array<string>>"))
+    """Runs of k tokens.  The array is bound first: a lambda would work it out again for every run."""
+    runs = lambda t: F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.slice(t, i + 1, F.lit(k)))).otherwise(F.array().cast("array<array<string>>"))
+    return F.transform(F.array(tokens), runs)[0]
 
 
 def clone_groups(docs: DataFrame, path: str, tokens: Column, k: int) -> DataFrame:

@@ -302,9 +302,9 @@ def repeated_in_chain(s, d):
     return rl.repeats_in_order(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value", "event_id").select("event_id", "first_position")
 
 
-@query("SELECT CAST(count(*) FILTER (a AND b) AS BIGINT) AS both, count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (b AND NOT a) AS right_only FROM (SELECT user_id, bool_or(event_type = 'click') AS a, bool_or(event_type = 'purchase') AS b FROM (SELECT user_id * 1000 + CAST(value AS BIGINT) % 50 AS user_id, event_type FROM events) GROUP BY 1)")
+@query("SELECT CAST(count(*) FILTER (a AND b) AS BIGINT) AS both, count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (b AND NOT a) AS right_only FROM (SELECT user_id, bool_or(event_type = 'click') AS a, bool_or(event_type = 'purchase') AS b FROM (SELECT user_id * 1000 + CAST(floor(value) AS BIGINT) % 50 AS user_id, event_type FROM events) GROUP BY 1)")
 def two_set_overlap(s, d):
-    e = table(s, d, "events").select((F.col("user_id") * 1000 + F.round("value").cast("bigint") % 50).alias("u"), "event_type")
+    e = table(s, d, "events").select((F.col("user_id") * 1000 + F.floor("value") % 50).alias("u"), "event_type")
     return rl.overlap_counts(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "u")
 
 
@@ -428,7 +428,7 @@ def _edges(s, d):
     return r.unionByName(n).unionByName(table(s, d, "customer").select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent")))
 
 
-@query(f"WITH RECURSIVE up(node, at, depth) AS (SELECT child, parent, 1 FROM {EDGES} UNION ALL SELECT up.node, e.parent, up.depth + 1 FROM up JOIN {EDGES} e ON e.child = up.at) SELECT node, CAST(max(depth) AS INT) AS depth FROM up GROUP BY node")
+@query(f"WITH RECURSIVE up(node, top, depth) AS (SELECT child, parent, 1 FROM {EDGES} UNION ALL SELECT up.node, e.parent, up.depth + 1 FROM up JOIN {EDGES} e ON e.child = up.top) SELECT node, CAST(max(depth) AS INT) AS depth FROM up GROUP BY node")
 def inheritance_depth(s, d):
     return rl.depth_to_root(s, _edges(s, d), "child", "parent")
 
@@ -495,8 +495,8 @@ def include_exclude(s, d):
     return table(s, d, "nation").select("n_name", sc.allowed((F.col("n_nationkey") % 4).cast("string"), ["0", "1", "2"], ["2"]).alias("allowed"))
 
 
-@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS \"from\", event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def x_windowed_counts(s, d):
     from ..streaming.history import windowed_counts
 
-    return windowed_counts(table(s, d, "events"))
+    return windowed_counts(table(s, d, "events")).select(F.to_date("from").cast("string").alias("day"), "event_type", "n")

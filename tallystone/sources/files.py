@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.relations import fill_forward
 
@@ -26,7 +27,10 @@ def decode(data: bytes) -> tuple[str | None, str, int, int]:
         return None, name, len(mark) + e.start, before.count("\n") + 1
 
 
-@F.pandas_udf("struct<text:string,encoding:string,bad_offset:int,bad_line:int>")
+DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("bad_offset", T.IntegerType()), T.StructField("bad_line", T.IntegerType())])
+
+
+@F.pandas_udf(DECODED)
 def decoded(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode(bytes(x)) if x is not None else (None, "", -1, -1) for x in data], columns=["text", "encoding", "bad_offset", "bad_line"])
 

@@ -12,10 +12,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces in each of the two generations that one Python worker keeps.
-CACHE_PIECES = 400_000
+#: Pieces in each of the two generations that one Python worker keeps; longer pieces are not kept.
+CACHE_PIECES, LONG = 500_000, 100
 
-_BLANKS = str.maketrans("\n\t\r", "   ")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python's re and str, but not to the tokenizer's pattern.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -23,7 +22,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 
 def split_words(text: str) -> list[str]:
     """For vocabularies that drop white space: pieces between blanks."""
-    return text.translate(_BLANKS).split(" ") if ("\n" in text or "\t" in text or "\r" in text) else text.split(" ")
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def split_spaced(text: str) -> list[str] | None:
@@ -55,7 +54,15 @@ class PieceTable:
         if new:
             young.update(zip(new, self.make(new), strict=True))
         get = young.__getitem__
-        return [None if p is None else b"".join(map(get, p)) for p in cut]
+        out = [None if p is None else b"".join(map(get, p)) for p in cut]
+        for p in new:
+            if len(p) > LONG:
+                del young[p]
+        return out
+
+
+#: A piece of one word with at most one mark behind it: both vocabularies cut there.  Latin-1 letters only, which are composed and have one-to-one lower cases.
+_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]?)")
 
 
 class ChunkEncoder:
@@ -77,7 +84,16 @@ class ChunkEncoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         plain = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark_id, self.mark = plain[0] if plain else (None, None)
-        self.split, self.table = split, PieceTable(self._pieces)
+        self.lower = split is split_words and '"Lowercase"' in self.tok.to_str()
+        self.split, self.table, self.words = split, PieceTable(self._cut), PieceTable(self._pieces, 300_000)
+
+    def _cut(self, pieces: list[str]) -> list[bytes]:
+        """By a word and its mark where a piece is that, so that a word counts once whatever stands behind it."""
+        words, match, lower = [], _WORD.fullmatch, self.lower
+        for p in pieces:
+            m = match(p)
+            words.append([p] if m is None else [x for x in ((m[1].lower() if lower else m[1]), m[2]) if x])
+        return self.words.join(words)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = self.kind

@@ -297,9 +297,10 @@ def siblings(s, d):
     return rl.siblings(table(s, d, "orders"), "o_custkey", "o_orderkey")
 
 
-@query("""SELECT event_id, first_position FROM (SELECT event_id, row_number() OVER w AS k, first_value(event_id) OVER w AS first_position FROM events WINDOW w AS (PARTITION BY user_id, event_type, value ORDER BY ts, event_id)) WHERE k > 1""")
+@query("""SELECT event_id, first_position FROM (SELECT event_id, row_number() OVER w AS k, first_value(event_id) OVER w AS first_position FROM events WINDOW w AS (PARTITION BY user_id, event_type, CAST(floor(value) AS BIGINT) ORDER BY ts, event_id)) WHERE k > 1""")
 def repeated_in_chain(s, d):
-    return rl.repeats_in_order(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value", "event_id").select("event_id", "first_position")
+    e = table(s, d, "events").select("event_id", "ts", "user_id", "event_type", F.floor("value").alias("condition"))
+    return rl.repeats_in_order(e, ["user_id", "event_type"], ["ts", "event_id"], "condition", "event_id").select("event_id", "first_position")
 
 
 @query("SELECT CAST(count(*) FILTER (a AND b) AS BIGINT) AS both, count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (b AND NOT a) AS right_only FROM (SELECT user_id, bool_or(event_type = 'click') AS a, bool_or(event_type = 'purchase') AS b FROM (SELECT user_id * 1000 + CAST(floor(value) AS BIGINT) % 50 AS user_id, event_type FROM events) GROUP BY 1)")

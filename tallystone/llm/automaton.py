@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import PieceTable, split_words
+from .chunks import PieceTable, byte_letters, split_words
 from .common import ready, tokenizer_path
 
 #: Entries of the transition table that one Python worker keeps, and the longest word spelled beside others.
@@ -31,13 +31,6 @@ ARCS, BESIDE = 1 << 20, 24
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
 class Automaton:
     """Compiled from the merges of a vocabulary file."""
 

@@ -1,7 +1,7 @@
 """Cached encoding: whole texts are cut where no token can reach across, and each distinct piece is encoded once.
 
-Both vocabularies cut a text into pre-tokens by a pattern that depends only on the
-characters around white space, so the ids of a text are the ids of its pieces, joined.
+Both vocabularies cut a text into pre-tokens by a pattern, and no token reaches across a
+cut, so the ids of a text are the ids of its pre-tokens, or of pieces between blanks, joined.
 """
 
 from __future__ import annotations
@@ -20,6 +20,13 @@ _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
 def split_words(text: str) -> list[str]:
     """For vocabularies that drop white space: pieces between blanks."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -61,15 +68,40 @@ class PieceTable:
         return out
 
 
-#: A piece of one word with at most one mark behind it: both vocabularies cut there.  Latin-1 letters only, which are composed and have one-to-one lower cases.
-_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]?)")
+#: Letters, numbers and white space of Latin-1, as the vocabularies' patterns see them.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+#: The two vocabularies' own cutting into pre-tokens, for texts of Latin-1 only: their other characters don't occur there.
+_PRETOKENS = {
+    "split_words": re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^{_S}{_L}{_N}]+"),
+    "split_spaced": re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+}
+
+
+class Kept(dict):
+    """string -> its ids' bytes, made where missing, in two generations: a full one becomes the old one.  Results don't depend on it."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, s: str) -> bytes:
+        if (x := self.old.get(s)) is None:
+            x = self.make(s)
+        if len(s) <= LONG:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[s] = x
+        return x
 
 
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, through a bounded table of pieces.
+    """Ids of whole texts by the tokenizers library, through bounded tables of pre-tokens and pieces.
 
-    A text that holds an added token's string, or white space on which Python and the
-    tokenizer differ, goes to the library whole.
+    A text of Latin-1 is cut into pre-tokens here, and each goes to the library's model in
+    byte letters.  Other texts are cut at white space, and each piece goes through the
+    library's whole path.  A text that holds an added token's string, or white space on
+    which Python and the tokenizer differ, goes to the library whole.
     """
 
     def __init__(self, path: str, split: Callable[[str], list[str] | None]):
@@ -82,41 +114,35 @@ class ChunkEncoder:
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() < 65536 else "<u4")
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        plain = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.mark_id, self.mark = plain[0] if plain else (None, None)
         self.lower = split is split_words and '"Lowercase"' in self.tok.to_str()
-        self.split, self.table, self.words = split, PieceTable(self._cut), PieceTable(self._pieces, 300_000)
-
-    def _cut(self, pieces: list[str]) -> list[bytes]:
-        """By a word and its mark where a piece is that, so that a word counts once whatever stands behind it."""
-        words, match, lower = [], _WORD.fullmatch, self.lower
-        for p in pieces:
-            m = match(p)
-            words.append([p] if m is None else [x for x in ((m[1].lower() if lower else m[1]), m[2]) if x])
-        return self.words.join(words)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = self.kind
-        return [np.array(e.ids, kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """As _ids, with an added token's string between pieces: the library cuts there before all else."""
-        if self.mark is None:
-            return self._ids(pieces)
-        out, kind = [], self.kind
-        for i in range(0, len(pieces), 1000):
-            ids = np.array(self.tok.encode(self.mark.join(part := pieces[i : i + 1000]), add_special_tokens=False).ids, kind)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-            data, w = ids.tobytes(), kind.itemsize
-            out += [data[a * w : b * w] for a, b in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)]
-            if len(ends) != len(part):
-                raise ValueError("the mark was not kept whole")
-        return out
+        letters = byte_letters()
+        self.bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.data = [int(i).to_bytes(self.kind.itemsize, "little") for i in range(max(self.tok.get_vocab().values()) + 1)]
+        self.model, self.split, self.cut = self.tok.model, split, _PRETOKENS[split.__name__].findall
+        self.pretokens, self.pieces = Kept(self._pretoken, CACHE_PIECES), Kept(self._whole, CACHE_PIECES)
+
+    def _pretoken(self, word: str) -> bytes:
+        data = self.data
+        return b"".join([data[t.id] for t in self.model.tokenize(word.translate(self.bytes))])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _bytes(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.added is not None and self.added.search(text):
+            return self._whole(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pieces = self.split(text)
+            return self._whole(text) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self.pretokens.__getitem__, self.cut(text.lower() if self.lower else text)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        cut = [[] if not t else None if self.added is not None and self.added.search(t) else self.split(t) for t in texts]
-        return [np.frombuffer(self._ids([t])[0] if x is None else x, self.kind) for t, x in zip(texts, self.table.join(cut), strict=True)]
+        return [np.frombuffer(self._bytes(t), self.kind) for t in texts]
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}

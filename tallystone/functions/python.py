@@ -105,3 +105,46 @@ def json_shape(text: pd.Series) -> pd.Series:
             return None
 
     return text.map(of)
+
+
+def keys(value: object) -> list[str]:
+    """All keys of all objects, at any depth, each once, in order of name."""
+    found, todo = set(), [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            found |= v.keys()
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return sorted(found)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_keys(text: pd.Series) -> pd.Series:
+    """Null for what isn't JSON."""
+
+    def of(t):
+        try:
+            return None if t is None else keys(json.loads(t))
+        except ValueError:
+            return None
+
+    return text.map(of)
+
+
+def well_formed(comment: str) -> bool:
+    """Is the content of a documentation comment XML, its leading marks aside?"""
+    from xml.etree import ElementTree
+
+    body = "\n".join(x.lstrip().removeprefix("///") for x in comment.split("\n"))
+    try:
+        ElementTree.fromstring(f"<doc>{body}</doc>")
+    except ElementTree.ParseError:
+        return False
+    return True
+
+
+@F.pandas_udf(T.BooleanType())
+def is_well_formed(comment: pd.Series) -> pd.Series:
+    return comment.map(lambda t: None if t is None else well_formed(t)).astype("boolean")

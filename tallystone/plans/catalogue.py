@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import python as py
 from ..functions import scalars as sc
 from ..functions import text as tx
-from ..functions.edits import edits_between, unified_diff
+from ..functions.edits import applied, edits_between, unified_diff
 from ..operators import findings as fd
 from ..operators import relations as rl
+from ..operators import settings as st
+from ..operators import units as un
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,3 +503,181 @@ def x_windowed_counts(s, d):
     from ..streaming.history import windowed_counts
 
     return windowed_counts(table(s, d, "events")).select(F.to_date("from").cast("string").alias("day"), "event_type", "n")
+
+
+# settings
+
+
+@query("SELECT conv_id, turn, min(CASE WHEN role <> 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS owner FROM conversations")
+def comment_owners(s, d):
+    # a user's turns stand for comments, which belong to the next turn of another role
+    return st.with_owner(table(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", F.col("role") == "user").select("conv_id", "turn", "owner")
+
+
+SETTINGS = """(SELECT p_partkey, p_type AS option_value, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'other' END AS option_default, p_size % 3 > 0 AS verified FROM part)"""
+
+
+@query(f"SELECT p_partkey, verified AND option_value = option_default AS dropped FROM {SETTINGS}")
+def droppable_defaults(s, d):
+    p = table(s, d, "part").select("p_partkey", F.concat(F.lit(" "), "p_type", F.lit(" : warning")).alias("v"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("other").alias("d"), (F.col("p_size") % 3 > 0).alias("k"))
+    return p.select("p_partkey", st.droppable(F.col("v"), F.col("d"), F.col("k"), F.lit(True)).alias("dropped"))
+
+
+def _settings(s, d):
+    """A document a nation: a section with a line for each customer of it, a comment before every fourth."""
+    c = table(s, d, "customer").select(F.col("c_nationkey").alias("doc"), "c_custkey", "c_mktsegment")
+    line = F.concat(F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("# about "), "c_custkey", F.lit("\n"))).otherwise(""), F.lit("k"), F.col("c_custkey") % 10, F.lit(" = "), "c_mktsegment")
+    g = c.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("x")))), lambda r: r["x"]), "\n").alias("t"))
+    return g.select("doc", F.concat(F.when(F.col("doc") % 2 == 0, "root = true\n").otherwise(""), F.lit("[*.x]\n"), "t").alias("text"))
+
+
+@query("""SELECT CAST(c_nationkey AS INT) AS doc, count(*) FILTER (c_custkey % 10 = 3 AND c_mktsegment = 'BUILDING') AS dropped,
+  CAST(count(*) + count(*) FILTER (c_custkey % 4 = 0) + 1 + min(CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 0 END) - count(*) FILTER (c_custkey % 10 = 3 AND c_mktsegment = 'BUILDING') - count(*) FILTER (c_custkey % 4 = 0 AND c_custkey % 10 = 3 AND c_mktsegment = 'BUILDING') AS INT) AS lines FROM customer GROUP BY 1, c_nationkey""")
+def distilled_settings(s, d):
+    r = s.createDataFrame([("k3", "BUILDING", True, False), ("k4", "BUILDING", False, False)], "key string, default string, verified boolean, has_suffix boolean")
+    return st.distill(_settings(s, d), r).select("doc", "dropped", F.size(F.split("text", "\n", -1)).alias("lines"))
+
+
+@query("""WITH a AS (SELECT c_nationkey AS doc, c_custkey, c_custkey % 10 AS r, c_mktsegment AS v FROM customer WHERE c_custkey % 10 IN (1, 2)),
+  b AS (SELECT doc, arg_min(v, (r, c_custkey)) AS best FROM a GROUP BY doc) SELECT CAST(a.doc AS INT) AS doc, 'k' || r AS key, best AS value, count(*) AS lines FROM a JOIN b ON a.doc = b.doc WHERE v <> best GROUP BY ALL""")
+def agreeing_spellings(s, d):
+    from ..sources.files import parse_sections
+
+    k = s.createDataFrame([("k1", "o", 1), ("k2", "o", 2)], "key string, option string, rank int")
+    return st.agreeing(parse_sections(_settings(s, d)), k).groupBy("doc", "key", "value").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT CASE WHEN p_partkey % 5 = 0 THEN 7 ELSE (p_partkey % 2) + 2 * CAST(p_partkey % 3 = 0 AS INT) END AS bits, count(*) AS n FROM part GROUP BY 1")
+def flag_sets(s, d):
+    v = F.when(F.col("p_partkey") % 5 == 0, "all").otherwise(F.concat_ws(" , ", F.when(F.col("p_partkey") % 2 == 1, "types"), F.when(F.col("p_partkey") % 3 == 0, "methods"), F.lit("events")))
+    return table(s, d, "part").select(st.flag_bits(v, {"types": 1, "methods": 2, "lambdas": 4}).cast("bigint").alias("bits")).groupBy("bits").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey AS key, CASE WHEN p_size % 5 > 0 AND NOT (p_size < 30 AND p_size % 2 = 0) THEN p_brand ELSE CASE WHEN p_size % 2 = 0 THEN p_brand END END AS "default", CASE WHEN p_size % 5 > 0 OR p_size < 30 THEN 'probe' ELSE 'docs' END AS source FROM part""")
+def patched_registry(s, d):
+    p = table(s, d, "part").select(F.col("p_partkey").alias("key"), "p_brand", "p_size")
+    r = p.select("key", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("default"), F.when(F.col("p_size") < 30, "probe").otherwise("docs").alias("source"))
+    return st.patched_registry(r, p.select("key", F.col("p_brand").alias("value"), F.when(F.col("p_size") % 5 > 0, "Verified").otherwise("Unknown").alias("verdict")))
+
+
+@query("SELECT event_id, 'k' AS keys FROM events")
+def json_keys(s, d):
+    return table(s, d, "events").select("event_id", F.array_join(py.json_keys("props"), ",").alias("keys"))
+
+
+# units
+
+
+@query("SELECT DISTINCT l_partkey AS path FROM lineitem ANTI JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 4000")
+def paths_without(s, d):
+    return un.paths_without(table(s, d, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_partkey").alias("path")), table(s, d, "supplier").where("s_acctbal > 4000").select(F.col("s_suppkey").alias("unit")))
+
+
+@query("SELECT l_partkey AS path, count(DISTINCT l_suppkey) AS n_units, min(l_suppkey) AS first_unit FROM lineitem GROUP BY 1")
+def units_by_path(s, d):
+    return un.units_by_path(table(s, d, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_partkey").alias("path")))
+
+
+@query("""WITH n AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) % 10 AS start, event_type FROM events)
+  SELECT a.event_id, max(b.event_id) AS counterpart FROM n a JOIN n b ON a.user_id = b.user_id AND a.start = b.start AND a.event_type = b.event_type AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 GROUP BY 1""")
+def counterparts(s, d):
+    n = table(s, d, "events").select("event_id", "user_id", (F.floor("value") % 10).alias("start"), "event_type")
+    return un.counterparts(n.where("event_id % 2 = 0"), n.where("event_id % 2 = 1"), ["user_id", "start", "event_type"], "event_id", "event_id").select("event_id", "counterpart")
+
+
+@query(f"SELECT doc_id, rule_id, CAST(value AS BIGINT) AS value FROM (SELECT doc_id, 'TS7101' AS rule_id, lines AS value, 12 AS most FROM {MEASURED} UNION ALL SELECT doc_id, 'TS7102', words, 400 FROM {MEASURED}) WHERE value > most")
+def threshold_rules(s, d):
+    m = _measured(s, d).selectExpr("doc_id", "stack(2, 'lines', cast(lines as bigint), 'words', cast(words as bigint)) as (metric, value)")
+    return un.over_threshold(m, s.createDataFrame([("lines", "TS7101", 12), ("words", "TS7102", 400)], "metric string, rule_id string, most int")).select("doc_id", "rule_id", "value")
+
+
+SPLIT = "string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))"
+MATCHED = f"(SELECT source, len(b) AS lines, len(list_filter(list_zip(a, b), lambda p: p[1] = p[2])) AS matched FROM (SELECT source, {SPLIT} AS b, {SPLIT.replace('text', chr(34) + 'new' + chr(34))} AS a FROM (SELECT source, text, regexp_replace(text, '\\bthe\\b', 'a', 'g') AS \"new\" FROM documents)))"
+
+
+@query(f"SELECT source, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(matched) AS BIGINT) AS matched, count(*) AS files, count(*) FILTER (lines = matched) AS whole, 100.0::DOUBLE * sum(matched) / sum(lines) AS line_percent, 100.0::DOUBLE * count(*) FILTER (lines = matched) / count(*) AS file_percent FROM {MATCHED} GROUP BY 1")
+def fidelity_by_source(s, d):
+    lines = lambda x: F.split(tx.unified_breaks(x), "\n", -1)
+    f = table(s, d, "documents").select("source", F.size(lines(F.col("text"))).alias("lines"), un.matching_lines(lines(F.regexp_replace("text", "\\bthe\\b", "a")), lines(F.col("text"))).alias("matched"))
+    return un.fidelity(f, ["source"])
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS to_list FROM events GROUP BY 1")
+def refusal_reasons(s, d):
+    return un.counted_reasons(table(s, d, "events"), "event_type", F.col("value") > 50)
+
+
+@query("SELECT p_brand, count(*) AS n, count(*) FILTER (p_size > 25) AS honoured FROM part GROUP BY 1")
+def tier_counts(s, d):
+    return un.tiers(table(s, d, "part"), "p_brand", F.col("p_size") > 25)
+
+
+@query("""WITH l AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O')
+  SELECT o_custkey, bool_and(a IS NOT NULL AND b IS NOT NULL) AS same FROM (SELECT coalesce(l.o_custkey, r.o_custkey) AS o_custkey, l.o_custkey AS a, r.o_custkey AS b FROM l FULL JOIN r ON l.o_custkey = r.o_custkey AND l.o_orderpriority = r.o_orderpriority) GROUP BY 1""")
+def same_members(s, d):
+    o = table(s, d, "orders")
+    return un.same_members(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey", "o_orderpriority")
+
+
+@query("SELECT l_orderkey, CASE WHEN bool_or(l_discount = 0) THEN NULL ELSE string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) END AS members FROM lineitem GROUP BY 1")
+def members_or_none(s, d):
+    m = un.members_or_none(table(s, d, "lineitem"), ["l_orderkey"], "l_returnflag", F.col("l_discount") == 0)
+    return m.select("l_orderkey", F.when(F.col("members").isNotNull(), F.array_join("members", ",")).alias("members"))
+
+
+PATHS = "CASE WHEN doc_id % 7 = 0 THEN 'obj/' ELSE '' END || source || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.g.cs' ELSE '.cs' END"
+
+
+@query(f"SELECT path, CAST(lines AS INT) AS lines FROM (SELECT {PATHS} AS path, {LINES} AS lines, doc_id FROM documents) WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND lines BETWEEN 4 AND 90")
+def draw_candidates(s, d):
+    f = table(s, d, "documents").select(F.expr(PATHS).alias("path"), tx.line_count(F.col("text")).alias("lines"))
+    return un.candidates(f, "path", "lines", ["obj", "bin"], [".g.cs"], 4, 90)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 0 ELSE p_partkey // greatest(p_partkey & -p_partkey, 1) END AS state, CAST(log2(greatest(p_partkey & -p_partkey, 1)) AS INT) + 1 AS passes, true AS converged FROM part")
+def fixed_point(s, d):
+    halved = lambda x: x.withColumn("state", F.when(F.col("state") % 2 == 0, F.expr("state div 2")).otherwise(F.col("state")))
+    return un.to_fixed_point(table(s, d, "part").select("p_partkey", F.col("p_partkey").alias("state")), "p_partkey", "state", halved)
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), r AS (SELECT doc_id, p AS pos_a, array_to_string(w[p + 1 : p + 8], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 7, 0))) AS p FROM w)),
+  b AS (SELECT item_id, p AS pos_b, array_to_string(w[p + 1 : p + 8], ' ') AS s FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 7, 0))) AS p FROM (SELECT item_id, {WORDS} AS w FROM benchmark))),
+  m AS (SELECT doc_id, item_id, pos_a, pos_b, pos_a - row_number() OVER (PARTITION BY doc_id, item_id, pos_a - pos_b ORDER BY pos_a) AS island FROM r JOIN b USING (s))
+  SELECT doc_id AS a, item_id AS b, CAST(min(pos_a) AS BIGINT) AS from_a, CAST(min(pos_b) AS BIGINT) AS from_b, count(*) AS runs FROM m GROUP BY doc_id, item_id, pos_a - pos_b, island""")
+def clone_extents(s, d):
+    run = lambda t, k, pos: t.select(k, F.posexplode(F.transform(rl.shingles(tx.words(F.col("text")), 8), lambda x: F.array_join(x, " "))).alias(pos, "s"))
+    a = run(files(s, d).select(F.col("doc_id").alias("a"), "text"), "a", "pos_a")
+    b = run(table(s, d, "benchmark").select(F.col("item_id").alias("b"), "text"), "b", "pos_b")
+    return rl.clone_extents(a.join(b, "s").drop("s")).select("a", "b", F.col("from_a").cast("bigint").alias("from_a"), F.col("from_b").cast("bigint").alias("from_b"), "runs")
+
+
+@query("SELECT doc_id, sha256(regexp_replace(text, '\\bthe\\b', 'a', 'g')) AS sha256 FROM documents")
+def applied_edits(s, d):
+    p = table(s, d, "documents").select("doc_id", "text", F.regexp_replace("text", "\\bthe\\b", "a").alias("new"))
+    return p.select("doc_id", F.sha2(applied("text", edits_between("text", "new")), 256).alias("sha256"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(left(text, 150), chr(10))) AS INT) AS line, CAST(length(list_last(string_split(left(text, 150), chr(10)))) + 1 AS INT) AS \"column\" FROM documents")
+def offset_to_place(s, d):
+    line, column = tx.line_column(F.col("text"), F.lit(150))
+    return files(s, d).select("doc_id", line.alias("line"), column.alias("column"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(0.0, epoch(l_shipdate) - epoch(o_orderdate))::DOUBLE AS seconds FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def durations(s, d):
+    j = table(s, d, "lineitem").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    return j.select("l_orderkey", "l_linenumber", sc.duration_seconds(F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp")).alias("seconds"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 45 THEN 'none' WHEN p_size % 3 = 0 THEN 'error' WHEN p_size % 3 = 1 THEN 'hint' WHEN p_size % 2 = 0 THEN 'warning' ELSE 'suggestion' END AS severity FROM part")
+def severity_precedence(s, d):
+    n = F.col("p_size")
+    out = sc.effective_severity(n > 45, F.when(n % 3 == 0, "Error"), F.when(n % 3 == 1, "silent"), F.when(n % 2 == 0, "WARNING"), F.lit("suggestion"))
+    return table(s, d, "part").select("p_partkey", out.alias("severity"))
+
+
+@query("SELECT n_name, CAST(CASE n_nationkey % 3 WHEN 0 THEN -128 WHEN 1 THEN 0 END AS DECIMAL(20,0)) AS low, CAST(CASE n_nationkey % 3 WHEN 0 THEN '127' WHEN 1 THEN '18446744073709551615' END AS DECIMAL(20,0)) AS high, CASE n_nationkey % 3 WHEN 0 THEN '>' WHEN 1 THEN '<=' ELSE '==' END AS flipped FROM nation")
+def integral_domains(s, d):
+    k = F.col("n_nationkey") % 3
+    b = sc.domain_bounds(F.when(k == 0, "sbyte").when(k == 1, "ulong").otherwise("float"))
+    return table(s, d, "nation").select("n_name", b["low"].alias("low"), b["high"].alias("high"), sc.flipped(F.when(k == 0, "<").when(k == 1, ">=").otherwise("==")).alias("flipped"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Pieces in each of the two generations that one Python worker keeps; longer pieces are not kept.
-CACHE_PIECES, LONG = 500_000, 100
+CACHE_PIECES, LONG = 200_000, 100
 
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python's re and str, but not to the tokenizer's pattern.

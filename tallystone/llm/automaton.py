@@ -174,7 +174,7 @@ class Automaton:
             for i in range(1, n + 1):
                 todo = np.arange(len(rows))
                 for j in range(max(0, i - self.longest), i):
-                    t = self._find(head[i, todo] - head[j, todo] * power[i - j], i == n)
+                    t = self._find(head[i, todo] - head[j, todo] * power[i - j], i == n and bool(self.suffix))
                     some = np.flatnonzero(t >= 0)
                     if len(some) and j:
                         some = some[self.arcs(last[j, todo[some]], t[some])]
@@ -185,6 +185,8 @@ class Automaton:
                         todo = todo[keep]
                         if not len(todo):
                             break
+            if not size[1:].all():
+                raise ValueError("no accepted spelling")
             last, size = last.T.tolist(), size.T.tolist()
             for i, t, s in zip(rows, last, size, strict=True):
                 ids, at = [], n

@@ -1,0 +1,98 @@
+"""Secrets against Python's own regular expressions and windows counted anew."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pyarrow.parquet as pq
+import pytest
+
+from tallystone.llm import secrets as sec
+
+PATTERNS = (
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile("[0-9a-f]+"), 0, 32),
+)
+
+
+def base(text):
+    out = []
+    for k, (_, p, group, least) in enumerate(PATTERNS):
+        out += [(m.start(), k, m.end()) for m in p.finditer(text) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def bits(window):
+    n = len(window)
+    return -sum(c / n * math.log2(c / n) for c in Counter(window).values())
+
+
+def entropy(text, known):
+    """Every window counted anew."""
+    out = []
+    for m in re.finditer(sec.CANDIDATE, text):
+        t = m[0]
+        is_hex = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", t))
+        if re.search(sec.ALLOWED, t) or not (is_hex or all(re.search(p, t) for p in ("[0-9]", "[a-z]", "[A-Z]"))):
+            continue
+        least = sec.HEX_BITS if is_hex else sec.MIXED_BITS
+        hot = [i for i in range(len(t) - sec.WINDOW + 1) if bits(t[i : i + sec.WINDOW]) >= least - 1e-9]
+        if hot:
+            s, e = m.start() + hot[0], m.start() + hot[-1] + sec.WINDOW
+            if not any(a < e and s < b for a, _, b in known):
+                out.append((s, 3, e))
+    return out
+
+
+def told(spans):
+    return ",".join(f"{sec.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def sample():
+    rng = random.Random(2)
+    out = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    alphabet = "abcdef0123456789ABCXYZ+/=_-"
+    for _ in range(150):
+        t = "".join(rng.choices(alphabet, k=rng.randrange(15, 90)))
+        out.append(f"é😀 {rng.choice(['password', 'API_KEY ', 'Token\"', 'apikey', 'x'])}{rng.choice([':', '=', ' = ', ''])}{t}\n{t[:40]} AKIA{t.upper()}")
+    return [*out, "AKIA" * 20, "f" * 70, "password=short passwd=longenough1 secret:'a.b-c_d/e+f='", "", "tokentoken=12345678", "a" * 40 + "😀" + "0123456789abcdef" * 3, "AKIAB AKIA" + "Z" * 16]
+
+
+def test_equals_brute_force(spark):
+    texts = sample()
+    got = {r["doc_id"]: r for r in sec.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        known = base(t)
+        more = entropy(t, known)
+        found += len(more)
+        r = got[i]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in known) for j in range(3)), t
+        assert r["base_sha256"] == hashlib.sha256(told(known).encode()).hexdigest()
+        assert r["spans"] == told(sorted(known + more)), t
+    assert found > 20
+
+
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("id 123e4567-e89b-12d3-a456-426614174000", ""), ("key zQ8kLm3Xw9Rt5Vb7Nc2Hj4", "entropy:4:26"), ("see EXAMPLEzQ8kLm3Xw9Rt5Vb7Nc2Hj4", ""), ("aaaaaaaaaaaaaaaaaaaaaaaaA1", ""),
+        ("a-long-name/of-a-path/without-digits", ""), ("2024-01-02_2024-01-02_2024", ""),
+    ],
+)
+def test_allow_list(spark, text, spans):
+    assert sec.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] == spans
+
+
+def test_redaction(spark):
+    d = spark.createDataFrame([(1, "a password=abcdefgh1 z", 22, "x"), (2, "clean", 99, "y"), (3, None, None, None), (4, "AKIA" + "B" * 16 + " é " + "0a" * 20, 1, "x")], "doc_id long, text string, n_chars long, source string")
+    got = {r["doc_id"]: tuple(r) for r in sec.redacted(d).collect()}
+    assert got == {1: (1, "a [SECRET] z", 12, "x"), 2: (2, "clean", 99, "y"), 3: (3, None, None, None), 4: (4, "[SECRET] é [SECRET]", 19, "x")}
+
+
+def test_plan_is_native(spark, capsys):
+    sec.report(spark.createDataFrame([(1, "x")], "doc_id long, text string")).explain()
+    assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)

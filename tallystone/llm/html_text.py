@@ -35,10 +35,12 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 DROPPED = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "nav", "aside", "footer", "form", "button", "select", "option", "textarea", "input", "dialog", "menu", "title", "xmp", "noembed", "noframes", "canvas", "audio", "video", "map"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form", "status"}
-_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe\w*|subscription|signup|login|popup|modal|overlay|paywall|share|sharing|social|side-?bar|rail|widgets?|related|recommend\w*|outbrain|taboola|comments?|commentlist|disqus|respond|replies|reply|nav|navbar|navigation|menus?|breadcrumbs?|foot|footer|header|masthead|topbar|toolbar|pagination|pager|skip-link|site-header|site-footer|search|hidden)(?:$|[\s_-])",
-    re.I,
+#: Names of boilerplate, as a word of a class or id; behind has-, with- and the like they tell of the layout, not of the part.
+_WORD = (
+    r"(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe\w*|subscription|signup|login|popup|modal|overlay|paywall|share|sharing|social|side-?bar|rail|widgets?|related|recommend\w*|outbrain|taboola|comments?|commentlist|disqus|respond|replies|reply|nav|navbar|navigation|menus?|breadcrumbs?|foot|footer|header|masthead|topbar|toolbar|pagination|pager|skip-link|site-header|site-footer|search|hidden)"
 )
+_NAME = re.compile(rf"(?:^|[\s_-])(?<!\bhas[-_])(?<!\bwith[-_])(?<!\bno[-_])(?<!\bwithout[-_]){_WORD}(?!-(?:open|closed|off|on)\b)(?:$|[\s_-])", re.I)
+_WHOLE = re.compile(rf"(?:^|\s){_WORD}(?:$|\s)", re.I)
 _REMARKS = re.compile(r"comment|disqus|respond|repl(?:y|ies)|sidebar|^ads?$|advert", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -137,6 +139,11 @@ class Page:
     def dropped(self) -> list[bool]:
         """Which nodes are boilerplate, or below it."""
         n, tag, parent = len(self.tag), self.tag, self.parent
+        chars = [0] * n
+        for i, t in self.flow:
+            chars[i] += len(t or "")
+        for i in range(n - 1, 0, -1):
+            chars[parent[i]] += chars[i]
         holds = [t in ("article", "main", "body") for t in tag]  # or stands above one
         for i in range(n - 1, 0, -1):
             holds[parent[i]] |= holds[i]
@@ -149,8 +156,10 @@ class Page:
                 a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(self.attrs[i])}
                 named = f"{a.get('class', '')} {a.get('id', '')}"
                 odd = a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
-                odd = odd or bool(_NAME.search(named))
-                remark = bool(_REMARKS.search(named)) and bool(_NAME.search(named))
+                # a word of a longer name, as in nav-open, doesn't make most of the page boilerplate
+                named_so = bool(_NAME.search(named)) and (2 * chars[i] <= chars[0] or bool(_WHOLE.search(named)))
+                odd = odd or named_so
+                remark = named_so and bool(_REMARKS.search(named))
                 out[i] = odd and tag[i] not in ("body", "main") and (tag[i] != "article" or remark) and (remark or not holds[i] or tag[i] == "article")
         return out
 

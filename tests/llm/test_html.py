@@ -23,6 +23,9 @@ NAV = "<ul>" + "".join(f"<li><a href='/{i}'>Entry {i}</a></li>" for i in range(1
         f"<body><script>var a = '<p>no</p>'</script><style>p {{}}</style><div>{ARTICLE}</div><!-- <p>not this</p> --></body>",
         f"<body><div class='cookie-notice'><p>We use cookies, which is what everybody does.</p></div><section>{ARTICLE}</section><aside>{A}</aside></body>",
         f"<body><div class='ad'>Buy this</div><div>{ARTICLE}</div><table><tr><td>{NAV}</td></tr></table></body>",
+        f"<body><div id='page' class='with-sidebar'><article class='post comments-open'>{ARTICLE}</article><div class='widget-area'><p>Also read this.</p></div></div></body>",
+        f"<body><div class='nav-open header-fixed'><div class='top-nav'>{NAV}</div><div class='text'>{ARTICLE}</div></div></body>",
+        f"<body><article>{ARTICLE}</article><section id='comments'><article class='comment'><p>{A}</p></article></section></body>",
         f"<BODY><DIV>{ARTICLE.replace('p>', 'P>')}</DIV><NAV>{NAV}</BODY>",
     ],
 )

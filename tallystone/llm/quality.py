@@ -24,6 +24,8 @@ NAMES = ("length", "word", "upper", "mark", "distinct", "top", "again", "line_ag
 POOL, RIDGE = 0.1, 0.02
 #: Usual words added to every text, so that a short one isn't odd for being short.
 PRIOR = 15
+#: Longer words count as this long: one key or address doesn't make a short text odd.
+LONGEST = 20
 THRESHOLD = 0.7
 _KIND = np.zeros(256, np.int64)  # 1 upper, 2 lower, 3 digit, 4 mark, 5 white space, 0 other bytes
 _KIND[65:91], _KIND[97:123], _KIND[48:58] = 1, 2, 3
@@ -43,7 +45,7 @@ def statistics(text: str | None) -> list[float]:
     letters = kinds[1] + kinds[2] + kinds[0]
     counts = Counter(words)
     lines = [x for x in b.split(b"\n") if x]
-    sizes = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
+    sizes = np.minimum(np.fromiter(map(len, words), np.float64, len(words)), LONGEST) if words else np.zeros(1)
     rare = each[_RARE].sum()
     ends = each[[46, 63, 33]].sum()
     low = lambda x: float(np.log(x + 0.002))

@@ -6,6 +6,7 @@ Types are objects, not strings, as executors import this module without a sessio
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,8 +16,14 @@ from pyspark.sql import types as T
 MASK = (1 << 64) - 1
 
 
+#: Printable Latin characters, one column each.
+_NARROW = re.compile("[\x20-\x7e\xa1-\xac\xae-\u02ff]*")
+
+
 def width(text: str, tab: int = 4) -> int:
     """Columns of the last line of text: tabs go to the next stop, marks and joiners take none, wide characters two."""
+    if _NARROW.fullmatch(text):
+        return len(text)
     at, previous_joins = 0, False
     for c in text:
         k = unicodedata.category(c)

@@ -73,10 +73,12 @@ def version_order(x: Column) -> Column:
 
 
 def next_version(x: Column, bump: Column) -> Column:
-    """bump 3 major, 2 minor, 1 patch; a pre-release of that very version is promoted."""
+    """bump 3 major, 2 minor, 1 patch; a pre-release of that very version is promoted.  Null where x is no version."""
     v = version_parts(x)
     number = lambda *p: F.concat_ws(".", *p)
-    return F.when(bump >= 3, number(v["major"] + 1, F.lit(0), F.lit(0))).when(bump == 2, number(v["major"], v["minor"] + 1, F.lit(0))).otherwise(F.when(v["pre"] != "", number(v["major"], v["minor"], v["patch"])).otherwise(number(v["major"], v["minor"], v["patch"] + 1)))
+    patch = F.when(v["pre"] != "", v["patch"]).otherwise(v["patch"] + 1)
+    out = F.when(bump >= 3, number(v["major"] + 1, F.lit(0), F.lit(0))).when(bump == 2, number(v["major"], v["minor"] + 1, F.lit(0))).otherwise(number(v["major"], v["minor"], patch))
+    return F.when(v.isNotNull(), out)
 
 
 def duration_seconds(start: Column, end: Column) -> Column:

@@ -187,14 +187,27 @@ def shingles(tokens: Column, k: int) -> Column:
     return F.transform(F.array(tokens), runs)[0]
 
 
+def run_hashes(tokens: Column, k: int) -> Column:
+    """array<struct<h1, h2>>: two independent 64-bit hashes of every run of k tokens.
+
+    A token is hashed once; its runs are slices of longs, and only their hashes leave the row.
+    """
+
+    def runs(t: Column) -> Column:
+        part = lambda i: F.slice(t, i + 1, F.lit(k))
+        some = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.struct(F.xxhash64(part(i)).alias("h1"), F.xxhash64(F.lit("second"), part(i)).alias("h2")))
+        return F.when(F.size(t) >= k, some).otherwise(F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
+
+    return F.transform(F.array(F.transform(tokens, lambda w: F.xxhash64(w))), runs)[0]
+
+
 def clone_groups(docs: DataFrame, path: str, tokens: Column, k: int) -> DataFrame:
-    """(first_path, first_pos, occurrences, paths) of every run of k tokens that occurs twice or more.
+    """(first_path, first_pos, occurrences, across) of every run of k tokens that occurs twice or more.
 
-    Two independent 64-bit hashes travel instead of the tokens; equal ones were never seen to differ,
-    and clone_extents() compares tokens.
+    Hashes travel instead of the tokens: 128 bits a run.  Which runs belong together into
+    longer clones is clone_extents()'s task.
     """
-    d = docs.select(F.col(path).alias("path"), F.posexplode(shingles(tokens, k)).alias("pos", "run"))
-    d = d.select("path", "pos", F.xxhash64("run").alias("h1"), F.xxhash64(F.lit("second"), "run").alias("h2"))
+    d = docs.select(F.col(path).alias("path"), F.posexplode(run_hashes(tokens, k)).alias("pos", "h")).select("path", "pos", "h.*")
     g = d.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("path", "pos")).alias("f"), F.min("path").alias("lo"), F.max("path").alias("hi"))
     return g.where("occurrences > 1").select(F.col("f.path").alias("first_path"), F.col("f.pos").alias("first_pos"), "occurrences", (F.col("lo") != F.col("hi")).alias("across"))
 

@@ -20,6 +20,7 @@ from ..operators import findings as fd
 from ..operators import relations as rl
 from ..operators import settings as st
 from ..operators import units as un
+from ..session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +46,7 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text", "source")
+    return spread(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text", "source"))
 
 
 LINES = "(len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) - CASE WHEN text = '' OR right(text, 1) IN (chr(10), chr(13)) THEN 1 ELSE 0 END)"
@@ -250,9 +251,8 @@ def clone_groups_exact(s, d):
   b AS (SELECT DISTINCT array_to_string(w[p + 1 : p + 8], ' ') AS s FROM (SELECT w, unnest(range(0, greatest(len(w) - 7, 0))) AS p FROM (SELECT {WORDS} AS w FROM benchmark)))
   SELECT doc_id, count(*) AS hits FROM r SEMI JOIN b USING (s) GROUP BY doc_id""")
 def clone_vs_second_snapshot(s, d):
-    run = lambda t: F.explode(F.transform(rl.shingles(tx.words(F.col(t)), 8), lambda x: F.array_join(x, " "))).alias("s")
-    b = table(s, d, "benchmark").select(run("text")).distinct()
-    return files(s, d).select("doc_id", run("text")).join(b, "s", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    runs = lambda t, *own: t.select(*own, F.explode(rl.run_hashes(tx.words(F.col("text")), 8)).alias("h")).select(*own, "h.*")
+    return runs(files(s, d), "doc_id").join(runs(table(s, d, "benchmark")), ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 # configuration
@@ -456,13 +456,13 @@ def taint_reach(s, d):
 
 @query()
 def unified_diffs(s, d):
-    p = table(s, d, "documents").select("doc_id", "text", F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(5)) != 0)).alias("new"))
+    p = files(s, d).select("doc_id", "text", F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(5)) != 0)).alias("new"))
     return p.select("doc_id", unified_diff("text", "new", F.col("doc_id").cast("string")).alias("diff"))
 
 
 @query()
 def line_edits(s, d):
-    p = table(s, d, "documents").select("doc_id", "text", F.regexp_replace("text", "\\bthe\\b", "a").alias("new"))
+    p = files(s, d).select("doc_id", "text", F.regexp_replace("text", "\\bthe\\b", "a").alias("new"))
     return p.select("doc_id", edits_between("text", "new").alias("edits")).select("doc_id", F.posexplode("edits").alias("place", "e")).select("doc_id", "place", "e.*")
 
 
@@ -598,7 +598,7 @@ MATCHED = f"(SELECT source, len(b) AS lines, len(list_filter(list_zip(a, b), lam
 @query(f"SELECT source, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(matched) AS BIGINT) AS matched, count(*) AS files, count(*) FILTER (lines = matched) AS whole, 100.0::DOUBLE * sum(matched) / sum(lines) AS line_percent, 100.0::DOUBLE * count(*) FILTER (lines = matched) / count(*) AS file_percent FROM {MATCHED} GROUP BY 1")
 def fidelity_by_source(s, d):
     lines = lambda x: F.split(tx.unified_breaks(x), "\n", -1)
-    f = table(s, d, "documents").select("source", F.size(lines(F.col("text"))).alias("lines"), un.matching_lines(lines(F.regexp_replace("text", "\\bthe\\b", "a")), lines(F.col("text"))).alias("matched"))
+    f = files(s, d).select("source", F.size(lines(F.col("text"))).alias("lines"), un.matching_lines(lines(F.regexp_replace("text", "\\bthe\\b", "a")), lines(F.col("text"))).alias("matched"))
     return un.fidelity(f, ["source"])
 
 
@@ -645,15 +645,15 @@ def fixed_point(s, d):
   m AS (SELECT doc_id, item_id, pos_a, pos_b, pos_a - row_number() OVER (PARTITION BY doc_id, item_id, pos_a - pos_b ORDER BY pos_a) AS island FROM r JOIN b USING (s))
   SELECT doc_id AS a, item_id AS b, CAST(min(pos_a) AS BIGINT) AS from_a, CAST(min(pos_b) AS BIGINT) AS from_b, count(*) AS runs FROM m GROUP BY doc_id, item_id, pos_a - pos_b, island""")
 def clone_extents(s, d):
-    run = lambda t, k, pos: t.select(k, F.posexplode(F.transform(rl.shingles(tx.words(F.col("text")), 8), lambda x: F.array_join(x, " "))).alias(pos, "s"))
+    run = lambda t, k, pos: t.select(k, F.posexplode(rl.run_hashes(tx.words(F.col("text")), 8)).alias(pos, "h")).select(k, pos, "h.*")
     a = run(files(s, d).select(F.col("doc_id").alias("a"), "text"), "a", "pos_a")
     b = run(table(s, d, "benchmark").select(F.col("item_id").alias("b"), "text"), "b", "pos_b")
-    return rl.clone_extents(a.join(b, "s").drop("s")).select("a", "b", F.col("from_a").cast("bigint").alias("from_a"), F.col("from_b").cast("bigint").alias("from_b"), "runs")
+    return rl.clone_extents(a.join(b, ["h1", "h2"])).select("a", "b", F.col("from_a").cast("bigint").alias("from_a"), F.col("from_b").cast("bigint").alias("from_b"), "runs")
 
 
 @query("SELECT doc_id, sha256(regexp_replace(text, '\\bthe\\b', 'a', 'g')) AS sha256 FROM documents")
 def applied_edits(s, d):
-    p = table(s, d, "documents").select("doc_id", "text", F.regexp_replace("text", "\\bthe\\b", "a").alias("new"))
+    p = files(s, d).select("doc_id", "text", F.regexp_replace("text", "\\bthe\\b", "a").alias("new"))
     return p.select("doc_id", F.sha2(applied("text", edits_between("text", "new")), 256).alias("sha256"))
 
 

@@ -1,6 +1,6 @@
 """The session every entry point uses."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tallystone", **conf: str) -> SparkSession:
@@ -10,3 +10,13 @@ def session(app: str = "tallystone", **conf: str) -> SparkSession:
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores.
+
+    A small table of one row group would be read, and worked on, by one task.  A table of
+    more partitions than cores, as any large one is, stays as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -78,7 +78,7 @@ def lines(findings: DataFrame, style: str = "plain") -> DataFrame:
 
 def summary_line(metrics: DataFrame) -> DataFrame:
     """All metrics in one line, by name; one that wasn't measured shows as a dash."""
-    return metrics.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda m: F.concat(m["name"], F.lit(" "), F.coalesce(F.format_string("%.1f", m["value"]), F.lit("-")))), ", ").alias("line"))
+    return metrics.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda m: F.concat(m["name"], F.lit(" "), F.when(m["value"].isNull(), "-").otherwise(F.format_string("%.1f", m["value"])))), ", ").alias("line"))
 
 
 def exit_code(passed: bool, incomplete: bool = False, bad_settings: bool = False, crashed: bool = False) -> int:

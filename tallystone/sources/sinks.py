@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEVERITIES
@@ -89,3 +89,24 @@ def exit_code(passed: bool, incomplete: bool = False, bad_settings: bool = False
 def shortened(values, k: int = 25):
     """struct<shown, more>."""
     return F.struct(F.slice(values, 1, k).alias("shown"), F.greatest(F.size(values) - k, F.lit(0)).alias("more"))
+
+
+def release_notes(changes: DataFrame, verdict: DataFrame, most: int = 25) -> DataFrame:
+    """(surface, at, line) of a release's notes: a heading, up to `most` changes by key, and how many more there are.
+
+    changes: (surface, key, state), verdict: one row with next.  Lines are for a reader, so
+    a surface's list is cut by row_number() and never gathered.
+    """
+    order = Window.partitionBy("surface").orderBy("key")
+    d = changes.withColumn("at", F.row_number().over(order))
+    shown = d.where(F.col("at") <= most).select("surface", "at", F.format_string("- %s: %s", "key", "state").alias("line"))
+    n = changes.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
+    head = n.crossJoin(F.broadcast(verdict.select("next"))).select("surface", F.lit(0).alias("at"), F.format_string("## %s: %s", "next", "surface").alias("line"))
+    rest = n.where(F.col("n") > most).select("surface", F.lit(most + 1).alias("at"), F.format_string("- and %d more", F.col("n") - most).alias("line"))
+    return head.unionByName(shown).unionByName(rest)
+
+
+def write_sweep_archive(rows: DataFrame, path: str) -> None:
+    """One JSON line a key with its values in order, sorted by key; rows: (key, value, oracle, ours, agree), a key's few values."""
+    values = F.array_sort(F.collect_list(F.struct("value", "oracle", "ours", "agree")))
+    rows.groupBy("key").agg(values.alias("values")).sort("key").write.mode("overwrite").json(path)

@@ -116,6 +116,30 @@ def test_small_readers(spark, tmp_path):
     assert rows(fs.sweep_archive(spark, str(tmp_path / "s.json")), "key", "agree") == [("k", False)]
 
 
+def test_notes_say_what_is_cut(spark):
+    c = spark.createDataFrame([("rules", f"k{i}", "added") for i in range(4)] + [("options", "o", "removed")], "surface string, key string, state string")
+    got = rows(sk.release_notes(c, spark.createDataFrame([("2.0.0",)], "next string"), 2), "surface", "at", "line")
+    assert got == [("options", 0, "## 2.0.0: options"), ("options", 1, "- o: removed"), ("rules", 0, "## 2.0.0: rules"), ("rules", 1, "- k0: added"), ("rules", 2, "- k1: added"), ("rules", 3, "- and 2 more")]
+
+
+def test_sweep_archive_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([("b", "1", "x", "x", True), ("a", "2", "y", "z", False), ("a", "1", "y", "y", True)], "key string, value string, oracle string, ours string, agree boolean")
+    sk.write_sweep_archive(d, str(tmp_path / "s"))
+    assert rows(fs.sweep_archive(spark, str(tmp_path / "s")), "key", "value", "oracle", "ours", "agree") == rows(d)
+
+
+def test_property_bags(spark):
+    d = spark.createDataFrame([('{"p": {"n": 3}}',), ('{"p": {"n": "x"}}',), ("{}",)], "t string").withColumn("bag", F.parse_json("t"))
+    assert [r[0] for r in d.select(fs.property_or(F.col("bag"), "p.n", "int", F.lit(-1))).collect()] == [3, -1, -1]
+
+
+def test_spread(spark):
+    from tallystone.session import spread
+
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100).repartition(50)).rdd.getNumPartitions() == 50
+
+
 # functions
 
 

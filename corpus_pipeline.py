@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm.common import written
+from tallystone.llm.common import split_by, written
 from tallystone.llm.language import keep_known
 from tallystone.llm.minhash import near_duplicates
 from tallystone.llm.packing import pack
@@ -32,8 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document with a null doc_id or without words is in no group and stays; rows that
     share a doc_id are one document and stay or go together.
     """
-    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = written(near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    maybe, rest = split_by(docs, "doc_id", gone)
+    return maybe.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(rest)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

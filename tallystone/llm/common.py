@@ -69,6 +69,29 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of one bitmap, and most bitmaps of a filter: 8 MB at most, however many ids it is made from.
+MAP_BITS, MOST_MAPS = 32768, 2048
+
+
+def split_by(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be among ids, rows that surely aren't), so that only the first need a shuffle to be told apart.
+
+    ids has the one column key.  A bitmap of hashed ids is broadcast, 8 MB at most; with more
+    ids than that tells apart, more rows are in the first part, up to all of them.  Each row
+    is in just one part; a null key is like any other.
+    """
+    maps = min(MOST_MAPS, 1 + 32 * ids.count() // MAP_BITS)
+    bit = F.pmod(F.xxhash64(key), F.lit(maps * MAP_BITS))
+    at = F.expr(f"__bit div {MAP_BITS}").cast("int")
+    built = ids.select(bit.alias("__bit")).groupBy(at.alias("__at")).agg(F.bitmap_construct_agg(F.col("__bit") % MAP_BITS).alias("__map"))
+    d = df.withColumn("__bit", bit).withColumn("__at", at).join(F.broadcast(built), "__at", "left")
+    place = F.col("__bit") % MAP_BITS
+    byte = F.conv(F.hex(F.substr("__map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    d = d.withColumn("__maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    own = [f"`{c}`" for c in df.columns]
+    return d.where("__maybe").select(*own), d.where("NOT __maybe").select(*own)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; found on each machine, never copied."""
     import public_tokenizers
@@ -110,4 +133,4 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-__all__ = ["ARROW_ROWS", "batches", "components", "drop", "ready", "scratch", "shared_dir", "tokenizer_path", "written"]
+__all__ = ["ARROW_ROWS", "batches", "components", "drop", "ready", "scratch", "shared_dir", "split_by", "tokenizer_path", "written"]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ready, written
+from .common import components, ready, split_by, written
 
 T, ROWS, BANDS = 128, 4, 32
 #: Pairs whose sketches agree in fewer coordinates than this share are not compared; true pairs of 0.8 fall below it about once in 1e5.
@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     central = member.groupBy("doc").agg(F.sum("n").alias("company"))
     hubs = member.join(central, "doc").groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("doc").alias("d"))).alias("h")).select("key", F.bitwise_not("h.d").alias("hub"))
     member = written(member.join(hubs, "key"), "members")
-    texts = written(docs.join(member.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    named = member.select(F.col("doc").alias("doc_id")).distinct()
+    texts = written(split_by(docs, "doc_id", named)[0].join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     star = member.where("doc <> hub").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
     links = written(verified(star, reps, texts, k, percent), "links")

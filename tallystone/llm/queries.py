@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The whole table; spread over the cores where it has fewer partitions."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

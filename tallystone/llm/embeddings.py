@@ -6,6 +6,11 @@ split goes to both sides.  The spill is as wide as the spread that a linked pair
 difference has along a random direction, so one tree keeps a pair together but for about
 one in a hundred, and TREES independent ones lose about one in 1e8.
 
+The first splits are learned from one sample of all vectors.  A leaf that still holds more
+than OVERSIZE vectors is split again by a tree learned from a sample of its own, all such
+leaves side by side, until none is left or no split gains anything; so leaves don't grow
+with the input.
+
 Vectors are compared within leaves, in blocks of bounded size, in double precision.  A pair
 found in several leaves counts in the smallest one the two share.  A block returns a sum of
 links and a spanning star for each vector, never its pairs.
@@ -22,16 +27,28 @@ from pyspark.sql import functions as F
 from .common import components, ready, written
 
 TREES, LEAF, BLOCK = 4, 512, 1024
-#: Vectors from which the splits are learned; every vector is then routed.
+#: Vectors from which the first splits are learned; every vector is then routed.
 SAMPLE = 20_000
+#: Vectors from which a leaf is split again, about so many of it learned from, and most rounds of that.
+OVERSIZE, OWN_SAMPLE, ROUNDS = 8192, 2048, 12
 COSINE = 0.98
 
 
+NODE = np.dtype([("direction", "<i2"), ("cut", "<f8"), ("left", "<i4"), ("right", "<i4")])
+
+
 class Tree:
     """Nodes of one group's tree; a leaf has direction -1 and its number as left child."""
 
     __slots__ = ("cut", "direction", "left", "right")
 
+    @classmethod
+    def of(cls, nodes: np.ndarray) -> Tree:
+        tree = cls()
+        for name in cls.__slots__:
+            setattr(tree, name, nodes[name].tolist())
+        return tree
+
     def __init__(self):
         self.direction, self.cut, self.left, self.right = [], [], [], []
 
@@ -81,7 +98,90 @@ def route(tree: Tree, projected: np.ndarray, spill: float, into: list[list[int]]
             todo += [(tree.left[node], rows[p <= tree.cut[node] + spill]), (tree.right[node], rows[p >= tree.cut[node] - spill])]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def axes(d: int, seed: int) -> np.ndarray:
+    """256 random unit vectors."""
+    u = np.random.default_rng([d, seed]).standard_normal((256, d))
+    return u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+def _drawn(share, *key: str):
+    """Rows that a hash of their key draws, with the given probability."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 53)).cast("double") < share * float(1 << 53)
+
+
+def unit(vecs: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+PLACED = pa.schema([("grp", pa.string()), ("leaf", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("vec", pa.binary())])
+PLACED_SQL = "grp string, leaf long, rep long, size long, vec binary"
+
+
+def split_again(members: DataFrame, gap: float, leaf: int, oversize: int, own_sample: int, rounds: int) -> DataFrame:
+    """members with every leaf of more than `oversize` vectors replaced by the leaves of a tree of its own.
+
+    A leaf whose sample can't be split, as when all its vectors lie within the spill of each
+    other, stays as it is.
+    """
+    sizes = members.groupBy("grp", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    whole = None
+    for turn in range(1, rounds + 1):
+        big = sizes.where(F.col("n") > oversize)
+        if whole is not None:
+            big = big.join(whole, ["grp", "leaf"], "left_anti")
+        big = written(big, "large-leaves")
+        if big.isEmpty():
+            break
+        sampled = members.join(big, ["grp", "leaf"]).where(_drawn(F.lit(float(own_sample)) / F.col("n"), "rep", "leaf")).select("grp", "leaf", "n", "vec")
+
+        def learn(t: pa.Table) -> pa.Table:
+            x = unit(t.column("vec").to_pylist())
+            rng = np.random.default_rng([turn, t.column("leaf")[0].as_py() & 0xFFFFFFFF])
+            least = max(8.0, leaf * len(x) / t.column("n")[0].as_py())
+            tree = grow(x, least, gap / np.sqrt(x.shape[1]), axes(x.shape[1], turn), rng, [0])
+            node = np.zeros(len(tree.cut), NODE)
+            node["direction"], node["cut"], node["left"], node["right"] = tree.direction, tree.cut, tree.left, tree.right
+            return pa.table({"grp": t.column("grp").slice(0, 1), "leaf": t.column("leaf").slice(0, 1), "tree": pa.array([node.tobytes()], pa.binary())})
+
+        trees = written(sampled.groupBy("grp", "leaf").applyInArrow(learn, "grp string, leaf long, tree binary"), "leaf-trees")
+        # a leaf of one node, or without a sample, can't be split
+        stuck = big.select("grp", "leaf").join(trees.where(F.length("tree") > NODE.itemsize), ["grp", "leaf"], "left_anti")
+        whole = written(stuck if whole is None else whole.unionByName(stuck), "whole-leaves")
+
+        def deal(rows):
+            known: dict[bytes, Tree] = {}
+            for b in rows:
+                vec, told, leaves = b.column("vec").to_pylist(), b.column("tree").to_pylist(), b.column("leaf").to_pylist()
+                into: list[list[int]] = [[] for _ in vec]
+                by: dict[bytes | None, list[int]] = {}
+                for i, x in enumerate(told):
+                    by.setdefault(x, []).append(i)
+                for raw, rows_ in by.items():
+                    if raw is None:
+                        for i in rows_:
+                            into[i].append(-1)
+                        continue
+                    if raw not in known:
+                        known.clear() if len(known) > 64 else None
+                        known[raw] = Tree.of(np.frombuffer(raw, NODE))
+                    x = unit([vec[i] for i in rows_])
+                    at = np.array(rows_)
+                    p = np.zeros((len(vec), 256))
+                    p[at] = x @ axes(x.shape[1], turn).T
+                    route(known[raw], p, gap / np.sqrt(x.shape[1]), into, at)
+                take = np.repeat(np.arange(len(vec)), [len(x) for x in into])
+                t = b.select(["grp", "rep", "size", "vec"]).take(pa.array(take))
+                new = [leaves[i] if y < 0 else xxhash.xxh3_64_intdigest(f"{leaves[i]}:{turn}:{y}") >> 1 for i, x in enumerate(into) for y in x]
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(new, pa.int64()), t.column(1), t.column(2), t.column(3)], schema=PLACED)
+
+        usable = trees.where(F.length("tree") > NODE.itemsize)
+        members = written(members.join(usable, ["grp", "leaf"], "left").select("grp", "leaf", "rep", "size", "vec", "tree").mapInArrow(deal, PLACED_SQL), "leaves")
+        sizes = members.groupBy("grp", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    return members
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, oversize: int = OVERSIZE, own_sample: int = OWN_SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vec_id, embedding, label.
 
     Vectors link when labels (and lengths) are equal and their cosine is at least `cosine`.
@@ -118,7 +218,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
 
     total = reps.count()
     share = min(1.0, sample / max(1, total))
-    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).select("grp", "rep", "vec").toArrow()  # about `sample` rows
+    drawn = reps.where(_drawn(F.lit(share), "rep")).select("grp", "rep", "vec").toArrow()  # about `sample` rows
     order = np.argsort(drawn.column("rep").to_numpy(), kind="stable") if drawn.num_rows else []
     groups, by = drawn.column("grp").to_pylist(), {}
     raw = drawn.column("vec").to_pylist()
@@ -131,11 +231,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         d = x.shape[1]
         if d not in directions:
-            u = rng.standard_normal((256, d))
-            directions[d] = u / np.linalg.norm(u, axis=1, keepdims=True)
+            directions[d] = axes(d, 0)
         forest[g] = [grow(x, max(8.0, leaf * share), gap / np.sqrt(d), directions[d], rng, count) for _ in range(trees)]
     learned = spark.sparkContext.broadcast((forest, directions))  # bounded by the sample
-    placed = pa.schema([("grp", pa.string()), ("leaf", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("vec", pa.binary()), ("leaves", pa.list_(pa.int64()))])
 
     def place(rows):
         forest, directions = learned.value
@@ -148,8 +246,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
                     for i in at.tolist():
                         into[i].append(-1)  # a group too small for the sample is one leaf
                     continue
-                x = np.frombuffer(b"".join([vec[i] for i in at]), np.float64).reshape(len(at), -1)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit([vec[i] for i in at])
                 d = x.shape[1]
                 p = np.zeros((len(g), len(directions[d])))
                 p[at] = x @ directions[d].T
@@ -158,9 +255,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
             n = [len(x) for x in into]
             take = np.repeat(np.arange(len(g)), n)
             t = b.select(["grp", "rep", "size", "vec"]).take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([y for x in into for y in x], pa.int64()), t.column(1), t.column(2), t.column(3), pa.array([sorted(into[i]) for i in take], pa.list_(pa.int64()))], schema=placed)
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([y for x in into for y in x], pa.int64()), t.column(1), t.column(2), t.column(3)], schema=PLACED)
 
-    members = written(reps.select("grp", "rep", "size", "vec").mapInArrow(place, "grp string, leaf long, rep long, size long, vec binary, leaves array<long>"), "leaves")
+    members = written(reps.select("grp", "rep", "size", "vec").mapInArrow(place, PLACED_SQL), "leaves")
+    members = split_again(members, gap, leaf, oversize, own_sample, ROUNDS)
+    reached = members.groupBy("grp", "rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # a vector's few leaves
+    members = members.join(reached, ["grp", "rep"])
     sizes = members.groupBy("grp", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     m = members.join(sizes, ["grp", "leaf"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

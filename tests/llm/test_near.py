@@ -141,8 +141,8 @@ def vectors_by_all_pairs(rows, cosine=0.98):
     return {rows[i][0]: (int(n[i]), rows[r[i]][0]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("leaf, block, sample", [(512, 1024, 20_000), (16, 10, 300)])
-def test_vectors_equal_all_pairs(spark, monkeypatch, leaf, block, sample):
+@pytest.mark.parametrize("leaf, block, sample, oversize", [(512, 1024, 20_000, 8192), (16, 10, 300, 8192), (16, 30, 20, 40)])
+def test_vectors_equal_all_pairs(spark, monkeypatch, leaf, block, sample, oversize):
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rng = np.random.default_rng(4)
     rows = []
@@ -152,11 +152,20 @@ def test_vectors_equal_all_pairs(spark, monkeypatch, leaf, block, sample):
         for _ in range(rng.choice([1, 1, 2, 5, 20])):
             rows.append((len(rows), v.astype(np.float32).tolist(), label))
             v = v + rng.normal(size=24) * rng.choice([0.0, 0.1, 0.2])
-    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf=leaf, sample=sample).collect()
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf=leaf, sample=sample, oversize=oversize, own_sample=60).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == vectors_by_all_pairs(rows)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_large_leaves_are_split_again(spark):
+    rng = np.random.default_rng(6)
+    rows = [("g", 0, i, 1, rng.normal(size=48).tobytes()) for i in range(1500)] + [("h", 1, i, 1, np.ones(48).tobytes()) for i in range(200)]
+    m = spark.createDataFrame(rows, "grp string, leaf long, rep long, size long, vec binary")
+    got = embeddings.split_again(m, 0.02, 32, 100, 200, 6).groupBy("grp", "leaf").count().collect()
+    assert max(r["count"] for r in got if r["grp"] == "g") <= 100 and len([r for r in got if r["grp"] == "g"]) > 15
+    assert [(r["leaf"], r["count"]) for r in got if r["grp"] == "h"] == [(1, 200)]
+
+
 def test_vector_query(spark):
     t = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
     want = vectors_by_all_pairs([(r["vec_id"], r["embedding"], r["label"]) for r in t])

@@ -13,7 +13,6 @@ so they are tabled once and a text is scored by two look-ups a byte.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -27,7 +26,6 @@ ORDER = 3
 #: About so many training texts a language, drawn by a hash of doc_id; the only bound, and only on learning.
 TRAIN_DOCS = 500
 START = 0xFF  # no byte of UTF-8: stands before a text
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def grams(text: str) -> np.ndarray:
@@ -187,7 +185,7 @@ def predictor(docs: DataFrame, train_docs: int = TRAIN_DOCS):
             _models.clear()
             _models[key] = Model(got["languages"], got["lang"], got["gram"], got["count"]) if got["languages"] else None
         model = _models[key]
-        texts = [t if t and LETTER.search(t) else "" for t in texts]
+        texts = [t if t and any(map(str.isalpha, t)) else "" for t in texts]
         pred, score = ["und"] * len(texts), np.zeros(len(texts))
         if model is not None and texts:
             bits = model.bits(texts)

@@ -75,7 +75,7 @@ def test_language_of_held_out_rows(spark):
 
 
 def test_und(spark):
-    d = spark.createDataFrame([(i, "the cat and the hat", "en") for i in range(20)] + [(100, None, "en"), (101, "12 .. 4", "en"), (102, "", None), (103, "hat", None)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([(i, "the cat and the hat", "en") for i in range(20)] + [(100, None, "en"), (101, "12 .. 4² ½_", "en"), (102, "", None), (103, "hat", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(d).collect()}
     assert got[100] == got[101] == got[102] == ("und", 0.0) and got[103] == ("en", 1.0)
     assert {r["lang_pred"] for r in language.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}

@@ -82,6 +82,20 @@ def draw(df: DataFrame, seed: str, key: Column, n: int) -> DataFrame:
 # configuration
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with each row's place, from 1, in one order over all rows, without sorting them in one task.
+
+    Rows are dealt to ranges and fixed there by a checkpoint; a place is the rows of the
+    ranges before, of which there is one sum a range, and the row's number in its own.
+    """
+    checkpoints(df.sparkSession)
+    d = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    n = d.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = n.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return d.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+
+
 def last_wins(assignments: DataFrame, key: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The value set last in order, for each key."""
     return assignments.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))
@@ -266,28 +280,34 @@ def checkpoints(spark) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallystone-checkpoints-"))
 
 
-def depth_to_root(spark, edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(node, depth): steps from each node up to one without a parent."""
-    edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, at, depth) MAX RECURSION LEVEL {most} AS (
-              SELECT child, parent, 1 FROM __edges
-              UNION ALL
-              SELECT up.node, e.parent, up.depth + 1 FROM up JOIN __edges e ON e.child = up.at)
-            SELECT node, max(depth) AS depth FROM up GROUP BY node"""
-    )
-
-
-def closure(spark, edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(node, ancestor), each node its own ancestor too."""
-    edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor) MAX RECURSION LEVEL {most} AS (
-              SELECT DISTINCT child, child FROM __edges
-              UNION ALL
-              SELECT up.node, e.parent FROM up JOIN __edges e ON e.child = up.ancestor)
-            SELECT DISTINCT node, ancestor FROM up"""
-    )
+def climbed(edges: DataFrame, child: str, parent: str, most: int) -> DataFrame:
+    """(node, ancestor, depth) of every step up from every node, once for each path.
+
+    A round joins what the last one reached with the edges, and is checkpointed in the
+    shared folder; only the frontier moves.  A circle, or more than `most` levels, is an error.
+    """
+    checkpoints(edges.sparkSession)
+    e = edges.select(F.col(child).alias("__child"), F.col(parent).alias("__parent"))
+    frontier = e.select(F.col("__child").alias("node"), F.col("__parent").alias("ancestor"), F.lit(1).alias("depth")).checkpoint()
+    out = frontier
+    for _ in range(most):
+        up = frontier.join(e, frontier["ancestor"] == e["__child"])
+        frontier = up.select("node", F.col("__parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")).checkpoint()
+        if frontier.isEmpty():
+            return out
+        out = out.unionByName(frontier)
+    raise RuntimeError(f"more than {most} levels, or a circle")
+
+
+def depth_to_root(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
+    """(node, depth): steps from each node up to one without a parent; the longest of several ways."""
+    return climbed(edges, child, parent, most).groupBy("node").agg(F.max("depth").alias("depth"))
+
+
+def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
+    """(node, ancestor), each node that has a parent its own ancestor too."""
+    own = edges.select(F.col(child).alias("node"), F.col(child).alias("ancestor"))
+    return climbed(edges, child, parent, most).select("node", "ancestor").unionByName(own).distinct()
 
 
 def reachable(sources: DataFrame, edges: DataFrame, sanitizers: DataFrame, rounds: int = 50) -> DataFrame:

@@ -358,11 +358,9 @@ def set_operations(s, d):
 @query("""SELECT v, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 7 + 1) || '.0.0' WHEN p_partkey % 3 = 1 THEN (p_partkey % 7) || '.' || (p_partkey % 11 + 1) || '.0' ELSE (p_partkey % 7) || '.' || (p_partkey % 11) || '.' || (p_size + 1) END AS next, row_number() OVER (ORDER BY p_partkey % 7, p_partkey % 11, p_size, p_partkey) AS place
   FROM (SELECT p_partkey, p_size, (p_partkey % 7) || '.' || (p_partkey % 11) || '.' || p_size AS v FROM part)""")
 def semver_sort(s, d):
-    from pyspark.sql import Window
-
     p = table(s, d, "part").select("p_partkey", F.concat_ws(".", (F.col("p_partkey") % 7).cast("string"), (F.col("p_partkey") % 11).cast("string"), F.col("p_size").cast("string")).alias("v"))
-    place = F.row_number().over(Window.orderBy(sc.version_order(F.col("v")), "p_partkey")).cast("bigint")  # a changelog: one row a release
-    return p.select("v", sc.next_version(F.col("v"), 3 - F.col("p_partkey") % 3).alias("next"), place.alias("place"))
+    p = p.select("p_partkey", "v", sc.version_order(F.col("v")).alias("k"), sc.next_version(F.col("v"), 3 - F.col("p_partkey") % 3).alias("next"))
+    return rl.ranked(p, [F.col("k"), F.col("p_partkey")], "place").select("v", "next", "place")
 
 
 # order, draw, trend
@@ -433,13 +431,13 @@ def _edges(s, d):
 
 @query(f"WITH RECURSIVE up(node, top, depth) AS (SELECT child, parent, 1 FROM {EDGES} UNION ALL SELECT up.node, e.parent, up.depth + 1 FROM up JOIN {EDGES} e ON e.child = up.top) SELECT node, CAST(max(depth) AS INT) AS depth FROM up GROUP BY node")
 def inheritance_depth(s, d):
-    return rl.depth_to_root(s, _edges(s, d), "child", "parent")
+    return rl.depth_to_root(_edges(s, d), "child", "parent")
 
 
 @query(f"WITH RECURSIVE up(node, a) AS (SELECT child, child FROM {EDGES} UNION SELECT up.node, e.parent FROM up JOIN {EDGES} e ON e.child = up.a) SELECT node, max(a) FILTER (a LIKE 'r%' AND a <> 'root') AS matched FROM up GROUP BY node HAVING max(a) FILTER (a LIKE 'r%' AND a <> 'root') IN ('r1', 'r2')")
 def hierarchical_join(s, d):
     known = s.createDataFrame([("r1",), ("r2",)], "matched string")
-    return rl.closure(s, _edges(s, d), "child", "parent").withColumnRenamed("ancestor", "matched").join(F.broadcast(known), "matched").select("node", "matched")
+    return rl.closure(_edges(s, d), "child", "parent").withColumnRenamed("ancestor", "matched").join(F.broadcast(known), "matched").select("node", "matched")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS src, o_orderkey % 400 AS dst FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0), t(node) AS (SELECT DISTINCT o_custkey % 400 FROM orders WHERE o_custkey % 97 = 1 AND (o_custkey % 400) % 7 <> 0 UNION SELECT dst FROM t JOIN e ON src = node WHERE dst % 7 <> 0)

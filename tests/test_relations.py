@@ -113,6 +113,21 @@ def test_reach_stops_at_sanitizers_and_in_circles(spark):
     assert rows(rl.reachable(n(4), e, n(4))) == []
 
 
+def test_climbing(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")], "k string, p string")
+    assert rows(rl.depth_to_root(e, "k", "p")) == [("a", 2), ("b", 1), ("x", 1)]
+    assert rows(rl.closure(e, "k", "p")) == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "b"), ("b", "c"), ("x", "c"), ("x", "x")]
+    with pytest.raises(RuntimeError):
+        rl.depth_to_root(spark.createDataFrame([("a", "b"), ("b", "a")], "k string, p string"), "k", "p", most=5)
+
+
+def test_ranks_over_ranges(spark):
+    d = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"), F.col("id")).repartition(9)
+    got = rl.ranked(d, [F.col("x").desc()], "place")
+    assert got.columns == ["x", "id", "place"] and got.where("place <> 5000 - x").isEmpty() and got.count() == 5000
+    assert rl.ranked(d.limit(0), [F.col("x")], "place").isEmpty()
+
+
 def test_assignments(spark):
     d = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, list("abcdefghi"))], "k int, s array<string>")
     assert rows(rl.assignments_of(d, "s"), "k", "mask") == [(1, 0), (1, 1), (1, 2), (1, 3)]

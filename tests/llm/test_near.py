@@ -113,7 +113,7 @@ def test_every_coordinate_fills():
         assert (s < np.iinfo(np.uint64).max).all()
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, links):
     want = roots(31, links)

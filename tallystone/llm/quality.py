@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, written
+from .common import ready, split_by, written
 from .language import held_out
 
 NAMES = ("length", "word", "upper", "mark", "distinct", "top", "again", "line_again", "marked_words", "bars", "triple", "capital_words", "ends", "spread")
@@ -192,7 +192,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFra
     Lower than the threshold of a report: what is doubtful stays.
     """
     ready(docs.sparkSession)
-    model = fit(with_statistics(docs), labels)
+    ids = written(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "labelled-ids")
+    labelled, _ = split_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids)  # no statistics of other rows are needed here
+    model = fit(with_statistics(labelled), labels)
 
     def run(rows):
         for b in rows:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import PieceTable, byte_letters, split_words
-from .common import ready, tokenizer_path
+from .common import kept, ready, tokenizer_path
 
 #: Entries of the transition table that one Python worker keeps, and the longest word spelled beside others.
 ARCS, BESIDE = 1 << 20, 24
@@ -274,13 +274,8 @@ class Encoder:
         return " ".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_kept: dict[str, Encoder] = {}
-
-
 def encoder_for(path: str) -> Encoder:
-    if path not in _kept:
-        _kept[path] = Encoder(path)
-    return _kept[path]
+    return kept(("automaton", path), lambda: Encoder(path))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])

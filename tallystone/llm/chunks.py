@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import kept
+
 #: Pieces in each of the two generations that one Python worker keeps; longer pieces are not kept.
 CACHE_PIECES, LONG = 200_000, 100
 
@@ -145,12 +147,6 @@ class ChunkEncoder:
         return [np.frombuffer(self._bytes(t), self.kind) for t in texts]
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, split: Callable) -> ChunkEncoder:
     """One encoder for each worker process, kept between tasks."""
-    key = (path, split.__name__)
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(path, split)
-    return _encoders[key]
+    return kept(("chunks", path, split.__name__), lambda: ChunkEncoder(path, split))

@@ -99,6 +99,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks: one model or table at a time, so that stages of a pipeline don't pile theirs up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema, f: Callable[[dict], dict]) -> Iterator[pa.RecordBatch]:
     """Apply f, from columns as lists to columns as lists or arrays, to each batch."""
     for b in rows:
@@ -133,4 +144,4 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-__all__ = ["ARROW_ROWS", "batches", "components", "drop", "ready", "scratch", "shared_dir", "split_by", "tokenizer_path", "written"]
+__all__ = ["ARROW_ROWS", "batches", "components", "drop", "kept", "ready", "scratch", "shared_dir", "split_by", "tokenizer_path", "written"]

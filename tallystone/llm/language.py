@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import kept, ready
 
 ORDER = 3
 #: About so many training texts a language, drawn by a hash of doc_id; the only bound, and only on learning.
@@ -127,9 +127,6 @@ class Model:
         return self.table[self.context[code] * np.int64(self.base) + s[ORDER:]]
 
 
-_models: dict[str, Model] = {}
-
-
 def learn(train: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """Counts for Model from the rows of train (doc_id, text, lang; no nulls in text and lang).
 
@@ -179,12 +176,12 @@ def predictor(docs: DataFrame, train_docs: int = TRAIN_DOCS):
     learned = docs.sparkSession.sparkContext.broadcast(learn(train, train_docs))  # bounded by train_docs
     key = uuid.uuid4().hex
 
+    def made() -> Model | None:
+        got = learned.value
+        return Model(got["languages"], got["lang"], got["gram"], got["count"]) if got["languages"] else None
+
     def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        if key not in _models:
-            got = learned.value
-            _models.clear()
-            _models[key] = Model(got["languages"], got["lang"], got["gram"], got["count"]) if got["languages"] else None
-        model = _models[key]
+        model = kept(("language", key), made)
         texts = [t if t and any(map(str.isalpha, t)) else "" for t in texts]
         pred, score = ["und"] * len(texts), np.zeros(len(texts))
         if model is not None and texts:

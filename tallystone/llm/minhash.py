@@ -46,7 +46,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; starts anew when large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h

@@ -30,8 +30,7 @@ def line_count(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    plain = F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), "")
 
 
 def marker_without_reference(line: Column, marker: str = MARKER, reference: str = REFERENCE) -> Column:

@@ -449,6 +449,14 @@ def taint_reach(s, d):
     return rl.reachable(o.where("o_custkey % 97 = 1").select((F.col("o_custkey") % 400).alias("node")), e, n)
 
 
+@query()
+def taint_reach_whole(s, d):
+    """Every order is an edge between whole keys; from customers in debt, never through a pending order."""
+    o = table(s, d, "orders")
+    sources = table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("node"))
+    return rl.reachable(sources, o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node")))
+
+
 # edits and shapes
 
 

@@ -1,6 +1,7 @@
 """Metrics, gates, snapshots, configuration, clones, sweeps and recursion, on small frames with the awkward cases."""
 
 import math
+import random
 import re
 
 import pytest
@@ -12,6 +13,7 @@ from tallystone.functions import scalars as sc
 from tallystone.operators import relations as rl
 from tallystone.operators import settings as se
 from tallystone.operators import units as un
+from tallystone.plans.catalogue import QUERIES
 
 
 def rows(df, *names):
@@ -113,6 +115,37 @@ def test_reach_stops_at_sanitizers_and_in_circles(spark):
     assert rows(rl.reachable(n(4), e, n(4))) == []
 
 
+def walked(sources, edges, clean):
+    to = {}
+    for a, b in edges:
+        to.setdefault(a, []).append(b)
+    seen, new = set(), set(sources) - clean
+    while new:
+        seen |= new
+        new = {b for a in new for b in to.get(a, ())} - clean - seen
+    return seen
+
+
+def test_reach_by_brute_force(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(4500)]
+    sources, clean = range(0, 3000, 500), set(range(0, 3000, 9))
+    n = lambda x: spark.createDataFrame([(i,) for i in x], "node int")
+    got = rl.reachable(n(sources), spark.createDataFrame(edges, "src int, dst int"), n(clean)).collect()
+    want = walked(sources, edges, clean)
+    assert len(want) > 500 and sorted(r["node"] for r in got) == sorted(want)
+
+
+def test_whole_reach_takes_every_order(spark):
+    d = "/root/testdata/sf0.001"
+    o = spark.read.parquet(f"{d}/orders.parquet").collect()
+    sources = [r["c_custkey"] for r in spark.read.parquet(f"{d}/customer.parquet").collect() if r["c_acctbal"] < 0]
+    clean = {r["o_orderkey"] for r in o if r["o_orderstatus"] == "P"}
+    want = walked(sources, [(r["o_custkey"], r["o_orderkey"]) for r in o], clean)
+    got = [r["node"] for r in QUERIES["taint_reach_whole"](spark, d).collect()]
+    assert sorted(got) == sorted(want) and max(got) > 400
+
+
 def test_climbing(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")], "k string, p string")
     assert rows(rl.depth_to_root(e, "k", "p")) == [("a", 2), ("b", 1), ("x", 1)]

@@ -9,8 +9,10 @@ and the link-adjusted density
 with 1 for a zero divisor; b is the body.  A node's sum is that of its children's
 densities.  The node with the largest sum is the core; the least density on the path from
 the core up to the body is the threshold, and beside the core those blocks stay whose
-density reaches it.  Where the core stands in an article or main element, that element is
-the text.
+density reaches it.  Where the core stands in an article or main element, the outermost
+article below main, or main itself, takes the core's place.  Inside article and main only
+whole names of advertisements and remarks drop a part, and names of bars where at least
+half of the part is links.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ _WORD = (
 _NAME = re.compile(rf"(?:^|[\s_-])(?<!\bhas[-_])(?<!\bwith[-_])(?<!\bno[-_])(?<!\bwithout[-_]){_WORD}(?!-(?:open|closed|off|on)\b)(?:$|[\s_-])", re.I)
 _WHOLE = re.compile(rf"(?:^|\s){_WORD}(?:$|\s)", re.I)
 _REMARKS = re.compile(r"comment|disqus|respond|repl(?:y|ies)|sidebar|^ads?$|advert", re.I)
+#: Names that drop a part inside an article: as they are, and only with at least half of the part in links.
+_SURE = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|adsense|adsbygoogle|ad-?(?:slot|unit|container|banner)|sponsored|comments?|comment-?list|comments-(?:area|section)|disqus(?:_thread)?|respond)(?:$|\s)", re.I)
+_BAR = re.compile(r"(?:^|\s)(?:share|sharing|share-?(?:bar|buttons?|links?)|social-?(?:share|sharing|links?|buttons?|icons?|bar)|related-(?:posts?|articles?|stories)|outbrain|taboola|nav|navbar|menu|breadcrumbs?|pagination|pager|side-?bar|widget-area|toolbar)(?:$|\s)", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -139,11 +144,19 @@ class Page:
     def dropped(self) -> list[bool]:
         """Which nodes are boilerplate, or below it."""
         n, tag, parent = len(self.tag), self.tag, self.parent
-        chars = [0] * n
+        chars, solid, links, in_link = [0] * n, [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[parent[i]] or tag[i] == "a"
         for i, t in self.flow:
-            chars[i] += len(t or "")
+            if t:
+                k = len("".join(t.split()))
+                chars[i] += len(t)
+                solid[i] += k
+                links[i] += k * in_link[i]
         for i in range(n - 1, 0, -1):
             chars[parent[i]] += chars[i]
+            solid[parent[i]] += solid[i]
+            links[parent[i]] += links[i]
         holds = [t in ("article", "main", "body") for t in tag]  # or stands above one
         for i in range(n - 1, 0, -1):
             holds[parent[i]] |= holds[i]
@@ -157,7 +170,10 @@ class Page:
                 named = f"{a.get('class', '')} {a.get('id', '')}"
                 odd = a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
                 # a word of a longer name, as in nav-open, doesn't make most of the page boilerplate
-                named_so = bool(_NAME.search(named)) and (2 * chars[i] <= chars[0] or bool(_WHOLE.search(named)))
+                if inside[i]:
+                    named_so = tag[i] not in HEADINGS and bool(_SURE.search(named) or 2 * links[i] >= solid[i] and _BAR.search(named))
+                else:
+                    named_so = bool(_NAME.search(named)) and (2 * chars[i] <= chars[0] or bool(_WHOLE.search(named)))
                 odd = odd or named_so
                 remark = named_so and bool(_REMARKS.search(named))
                 out[i] = odd and tag[i] not in ("body", "main") and (tag[i] != "article" or remark) and (remark or not holds[i] or tag[i] == "article")

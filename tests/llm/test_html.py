@@ -46,6 +46,21 @@ def test_comments_inside_an_article():
     assert main_text(f"<article>{ARTICLE}<div id='comments'><p>{A}</p></div></article>") == PLAIN
 
 
+NAMES = "related-work recommendations search-algorithms social-history navigation cookies alert-systems article-header entry-header notices header share".split()
+
+
+@pytest.mark.parametrize("around", ["article", "main"])
+@pytest.mark.parametrize("name", NAMES)
+def test_names_made_from_titles_stay_inside_an_article(around, name):
+    for part in (f"<h2 id='{name}'>A title</h2>", f"<section id='{name}'><h2>A title</h2></section>", f"<header class='{name}'><h1>A title</h1></header>"):
+        assert main_text(f"<body><nav>{NAV}</nav><{around}>{part}{ARTICLE}</{around}></body>") == f"A title\n{PLAIN}"
+
+
+@pytest.mark.parametrize("part", ["<div class='ad'>Buy this</div>", "<h2 class='x'></h2><div class='post-x advertisement'><p>Buy this</p></div>", f"<div class='share-buttons'>{NAV}</div>", f"<div class='related-posts'>{NAV}</div>", f"<div id='comments'><p>{A}</p></div>"])
+def test_whole_names_drop_inside_an_article(part):
+    assert main_text(f"<body><article>{ARTICLE}{part}</article></body>") == PLAIN
+
+
 def test_empty():
     assert [main_text(x) for x in (None, "", "   ", "<p></p>", "<script>x</script>", "<!DOCTYPE html>")] == [""] * 6
 

@@ -10,7 +10,8 @@ with 1 for a zero divisor; b is the body.  A node's sum is that of its children'
 densities.  The node with the largest sum is the core; the least density on the path from
 the core up to the body is the threshold, and beside the core those blocks stay whose
 density reaches it.  Where the core stands in an article or main element, the outermost
-article below main, or main itself, takes the core's place.  Inside article and main only
+article below main, or main itself, takes the core's place, and beside it articles that
+aren't mostly links stay, and blocks by the same threshold.  Inside article and main only
 whole names of advertisements and remarks drop a part, and names of bars where at least
 half of the part is links.
 """
@@ -213,26 +214,39 @@ class Page:
         core = max((i for i in range(n) if not out[i]), key=lambda i: (total[i], density[i], -i), default=0)
         if not total[core]:
             core = max((i for i in range(n) if not out[i]), key=lambda i: (chars[i], i), default=0)
-        up, path = core, []
-        while up >= 0:
-            path.append(up)
-            up = parent[up]
-        home = [i for i in path if tag[i] in ("article", "main")]
-        keep = [False] * n
-        if not home:  # the core may lie in a part of a page whose article is elsewhere
+        def up(i: int) -> list[int]:
+            path = []
+            while i >= 0:
+                path.append(i)
+                i = parent[i]
+            return path
+
+        def outermost(path: list[int]) -> int | None:
+            """The outermost article below main, else main or article."""
+            root = None
+            for i in path:
+                if tag[i] == "main" and root is not None and tag[root] == "article":
+                    break
+                if tag[i] in ("article", "main"):
+                    root = i
+            return root
+
+        path = up(core)
+        root = outermost(path)
+        if root is None:  # the core may lie in a part of a page whose article is elsewhere
             best = max((i for i in range(n) if tag[i] in ("article", "main") and not out[i]), key=lambda i: chars[i], default=None)
             if best is not None and 3 * chars[best] >= chars[core]:
-                home = [best]
-        if home:
-            root = home[-1] if tag[home[-1]] == "article" or len(home) == 1 else home[0]
-            keep[root] = True
-        else:
-            keep[core] = True
-            least = min((density[i] for i in path if density[i] and i != 0), default=0.0)
-            on = set(path)
-            for i in range(1, n):
-                if parent[i] in on and i not in on and not out[i] and (tag[i] in BLOCKS) and chars[i] and (density[i] >= least or tag[i] in HEADINGS) and 2 * links[i] < chars[i]:
-                    keep[i] = True
+                path = up(best)
+                root = outermost(path)
+        keep = [False] * n
+        keep[core if root is None else root] = True
+        least = min((density[i] for i in path if density[i] and i != 0), default=0.0)
+        above = set(path) if root is None else set(up(root)[1:])
+        on = set(path)
+        in_main = {i for i in above if any(tag[x] == "main" for x in up(i))}
+        for i in range(1, n):
+            if parent[i] in above and i not in on and not out[i] and tag[i] in BLOCKS and chars[i] and 2 * links[i] < chars[i]:
+                keep[i] = density[i] >= least or root is not None and tag[i] == "article" or tag[i] in HEADINGS and (root is None or parent[i] in in_main)
         for i in range(1, n):
             keep[i] = keep[i] or keep[parent[i]]
         blocks, part = [], []

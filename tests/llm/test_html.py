@@ -61,6 +61,37 @@ def test_whole_names_drop_inside_an_article(part):
     assert main_text(f"<body><article>{ARTICLE}{part}</article></body>") == PLAIN
 
 
+LONG = "".join(f"<p>{A}</p>" for _ in range(4))
+
+
+@pytest.mark.parametrize("frame", ["<body><nav>{nav}</nav>{x}</body>", "<body><nav>{nav}</nav><main>{x}</main></body>", "<body><nav>{nav}</nav><div>{x}</div></body>"])
+@pytest.mark.parametrize(
+    "parts",
+    [
+        f"<article>{LONG}</article><article>{ARTICLE}</article>",
+        f"<article>{ARTICLE}</article><article>{LONG}</article><article>{ARTICLE}</article>",
+        f"<article><div><div>{LONG}{LONG}</div></div></article><article>{ARTICLE}</article>",
+        f"<article><div>{LONG}</div></article><section><p>{A} {A}</p></section>",
+    ],
+)
+def test_parts_beside_the_core_article_stay(frame, parts):
+    got = main_text(frame.format(nav=NAV, x=parts))
+    assert (got.count(A), got.count("A second one")) == (parts.count(A), parts.count(B))
+    assert "Entry" not in got
+
+
+@pytest.mark.parametrize("frame", ["<main>{}</main>", "<div>{}</div>"])
+def test_an_article_in_an_article(frame):
+    inner = f"<article><div>{LONG}{LONG}</div></article>"
+    got = main_text("<body>" + frame.format(f"<article><p>Its own text, of some length, stands here.</p>{inner}<p>And here.</p></article>") + "</body>")
+    assert got == "\n".join(["Its own text, of some length, stands here.", *[A] * 8, "And here."])
+
+
+def test_lists_of_links_beside_an_article_go():
+    teaser = "<article><h3><a href='/1'>Another title of another article</a></h3></article>"
+    assert main_text(f"<body><main><article>{ARTICLE}</article>{teaser}{teaser}<div>{NAV}</div></main></body>") == PLAIN
+
+
 def test_empty():
     assert [main_text(x) for x in (None, "", "   ", "<p></p>", "<script>x</script>", "<!DOCTYPE html>")] == [""] * 6
 

@@ -3,7 +3,9 @@
 Three base kinds are patterns.  A fourth, entropy, slides a window over candidate strings
 and keeps sum(c * log2 c) over the window's character counts, changed by the two counts
 that a step touches; fixed-point integers, so the sum never drifts.  A candidate is of the
-class hex or mixed, each with a threshold of its own, and known harmless forms are left out.
+class hex or mixed, and a run of letters and digits in any other candidate hex, lower, upper
+or letters, each with a threshold of its own; known harmless forms are left out.  What a base
+span or an earlier entropy span covers is cut from an entropy span, and the rest is kept.
 
 Positions are code points.  They come from the lengths of what a pattern's matches leave
 over, by two levels of sums, so a text with very many matches stays cheap.
@@ -25,12 +27,18 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character from which a window of a class counts.
 HEX_BITS, MIXED_BITS = 3.0, 3.7
+#: A run between other characters: lower case and digits, letters of both cases, or upper case and digits, which +, /, _ and - may not join to others.
+RUN = "(?<![A-Za-z0-9])(?:[a-z0-9]{20,}|[A-Za-z]{20,}|(?<![+/_-])[A-Z0-9]{20,}(?![+/_-]))(?![A-Za-z0-9])"
+#: About one in a hundred random windows of 36, 32 and 52 letters and digits has less.
+LOWER_BITS, UPPER_BITS, LETTERS_BITS = 3.4, 3.3, 3.55
 #: Candidates that are no secrets: identifiers, dates, placeholders, runs of one alphabet, paths and joined words.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
     r"|example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh|^[-_=+/]+$"
     r"|^[a-z]+([-_/][a-z]+)*[0-9]{0,4}$|^[0-9_/=+-]+$"
 )
+#: Letters of both cases that are no secrets: placeholders here, and, as words joined by their capitals, what has at most a quarter of capitals.
+PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|xxxx|abcdefgh"
 UNIT, BLOCK = 1_000_000, 128
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -111,20 +119,36 @@ def hot_windows(text: Column, most: Column) -> Column:
     return let(F.split(text, ""), slide)
 
 
-def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates with a hot window, from the first such window to the end of the last; none that touches a base span."""
+def _left(spans: Column, cover: Column) -> Column:
+    """What is left of spans without what cover, sorted by start, has of them."""
+    part = lambda start, end: F.array(F.struct(start.cast("int").alias("start"), F.lit(3).alias("kind"), end.cast("int").alias("end")))
+
+    def rest(h: Column) -> Column:
+        touching = F.filter(cover, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
+        state = F.struct(h["start"].alias("at"), F.array().cast(SPAN).alias("parts"))
+        cut = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.when(a["at"] < b["start"], F.concat(a["parts"], part(a["at"], b["start"]))).otherwise(a["parts"]).alias("parts"))
+        return F.aggregate(touching, state, cut, lambda a: F.when(a["at"] < h["end"], F.concat(a["parts"], part(a["at"], h["end"]))).otherwise(a["parts"]))
+
+    return F.flatten(F.transform(spans, rest))
+
+
+def hot_spans(text: Column) -> Column:
+    """Candidates (kind 3) and runs (kind 4) with a hot window, from the first such window to the end of the last."""
     units = lambda bits: round(WINDOW * (math.log2(WINDOW) - bits) * UNIT)
-    is_hex = lambda t: F.rlike(t, F.lit("^([0-9a-f]+|[0-9A-F]+)$"))
-    mixed = lambda t: F.rlike(t, F.lit("[0-9]")) & F.rlike(t, F.lit("[a-z]")) & F.rlike(t, F.lit("[A-Z]"))
-    told = F.filter(matches(text, CANDIDATE, 0), lambda m: ~F.rlike(m["text"], F.lit(ALLOWED)) & (is_hex(m["text"]) | mixed(m["text"])))
-    hot = F.transform(
-        told,
-        lambda m: let(
-            hot_windows(m["text"], F.when(is_hex(m["text"]), units(HEX_BITS)).otherwise(units(MIXED_BITS))),
-            lambda h: F.struct((m["start"] + h["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), F.when(h["first"] >= 0, m["start"] + h["last"] + WINDOW).otherwise(-1).cast("int").alias("end")),
-        ),
+    has = lambda t, pattern: F.rlike(t, F.lit(pattern))
+    is_hex = lambda t: has(t, "^([0-9a-f]+|[0-9A-F]+)$")
+    mixed = lambda t: has(t, "[0-9]") & has(t, "[a-z]") & has(t, "[A-Z]")
+    few = lambda t: 4 * F.char_length(F.regexp_replace(t, "[^A-Z]", "")) <= F.char_length(t)
+    letters = lambda t: has(t, "[a-z]") & has(t, "[A-Z]") & ~has(t, PLACEHOLDER) & ~few(t)
+    whole = F.filter(matches(text, CANDIDATE, 0), lambda m: ~has(m["text"], ALLOWED) & (is_hex(m["text"]) | mixed(m["text"])))
+    runs = F.filter(matches(text, RUN, 0), lambda m: F.when(has(m["text"], "[0-9]"), ~has(m["text"], ALLOWED)).otherwise(letters(m["text"])))
+    of = lambda ms, kind: F.transform(ms, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit(kind).alias("kind")))
+    most = lambda t: (
+        F.when(is_hex(t), units(HEX_BITS)).when(mixed(t), units(MIXED_BITS)).when(~has(t, "[0-9]"), units(LETTERS_BITS)).when(has(t, "[a-z]"), units(LOWER_BITS)).otherwise(units(UPPER_BITS))
     )
-    return F.filter(hot, lambda h: (h["end"] >= 0) & ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
+    span = lambda m, h: F.struct((m["start"] + h["first"]).cast("int").alias("start"), m["kind"].alias("kind"), F.when(h["first"] >= 0, m["start"] + h["last"] + WINDOW).otherwise(-1).cast("int").alias("end"))
+    hot = F.transform(F.concat(of(whole, 3), of(runs, 4)), lambda m: let(hot_windows(m["text"], most(m["text"])), lambda h: span(m, h)))
+    return F.filter(hot, lambda h: h["end"] >= 0)
 
 
 def _told(spans: Column) -> Column:
@@ -132,9 +156,13 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def found(text: Column) -> Column:
-    """struct<base, spans> of a text that isn't null."""
-    return let(base_spans(text), lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, let(b, lambda c: entropy_spans(text, c)))).alias("spans")))
+def found(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with __base and __spans of a text that isn't null.  In steps, as one expression is too deep for the analyzer."""
+    d = docs.withColumns({"__base": base_spans(text), "__hot": hot_spans(text)})
+    of = lambda kind: F.filter("__hot", lambda h: h["kind"] == kind)
+    d = d.withColumn("__base", F.concat("__base", _left(of(3), F.col("__base"))))
+    d = d.withColumn("__spans", F.array_sort(F.concat("__base", _left(of(4), F.array_sort("__base")))))
+    return d.withColumn("__base", F.filter("__base", lambda b: b["kind"] < 3))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -145,13 +173,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     not read.
     """
     d = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("__text"))
-    d = d.select("doc_id", "text", found(F.col("__text")).alias("__found"))
-    return d.select("doc_id", "text", F.col("__found.base").alias("base"), F.col("__found.spans").alias("spans"))
+    return found(d, F.col("__text")).select("doc_id", "text", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns, with each span of text replaced; n_chars, where there is one, follows."""
-    d = docs.withColumn("__spans", found(F.coalesce("text", F.lit("")))["spans"])
+    d = found(docs, F.coalesce("text", F.lit("")))
     d = d.withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("__spans"))))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

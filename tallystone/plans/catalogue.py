@@ -643,7 +643,7 @@ def draw_candidates(s, d):
 @query("SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 0 ELSE p_partkey // greatest(p_partkey & -p_partkey, 1) END AS state, CAST(log2(greatest(p_partkey & -p_partkey, 1)) AS INT) + 1 AS passes, true AS converged FROM part")
 def fixed_point(s, d):
     halved = lambda x: x.withColumn("state", F.when(F.col("state") % 2 == 0, F.expr("state div 2")).otherwise(F.col("state")))
-    return un.to_fixed_point(table(s, d, "part").select("p_partkey", F.col("p_partkey").alias("state")), "p_partkey", "state", halved)
+    return un.to_fixed_point(table(s, d, "part").select("p_partkey", F.col("p_partkey").alias("state")), "p_partkey", "state", halved, rounds=64)  # a key of 64 bits is halved 63 times at most
 
 
 @query(f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), r AS (SELECT doc_id, p AS pos_a, array_to_string(w[p + 1 : p + 8], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 7, 0))) AS p FROM w)),

@@ -235,3 +235,11 @@ def test_fixed_point_that_isnt_reached(spark):
     got = rows(un.to_fixed_point(d, "k", "state", step, rounds=3))
     assert got[:2] == [("a", 0, 2, True), ("b", 0, 1, True)] and got[2][0] == "c" and got[2][3] is False
     assert un.to_fixed_point(d.limit(0), "k", "state", step).isEmpty()
+
+
+def test_fixed_point_of_large_keys(spark, tmp_path):
+    keys = [0, 1, 32768, 65535, 65536, 131072, 3 << 20, -(1 << 40)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: (r["state"], r["passes"], r["converged"]) for r in QUERIES["fixed_point"](spark, str(tmp_path)).collect()}
+    halvings = {k: (k & -k).bit_length() - 1 if k else 0 for k in keys}
+    assert got == {k: (k >> n, n + 1, True) for k, n in halvings.items()}

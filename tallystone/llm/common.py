@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,15 +18,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that cross to Python at once.  Small, because one document may hold megabytes.
-ARROW_ROWS = 1000
+#: Rows and bytes that cross to Python at once.  Small, because one document may hold megabytes; a larger row crosses alone.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: Rows that a Parquet reader holds as columns at once, for the same reason; 4096 rows of documents are large arrays, and twice the heap.
+READ_ROWS = 256
+#: Most ranges of a table that is dealt by ranges of its ids.
+MOST_RANGES = 50_000
 
 _shipped: set[str] = set()
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound what is read and sent to Python at once.
+
+    These settings are the session's and stay, as plans are run after this returns; a
+    smaller value of the caller's is kept.
+    """
+    for name, most in (("execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = spark.conf.get(f"spark.sql.{name}", None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.{name}", str(most))
+
+
 def ready(spark: SparkSession) -> None:
-    """Make this package importable on executors and bound the batches sent to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Make this package importable on executors, and bounded()."""
+    bounded(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -39,9 +58,11 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, one of our own on a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallystone-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
@@ -50,23 +71,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tallystone/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, below one folder for each application."""
+    return f"{shared_dir(spark).rstrip('/')}/tallystone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back.  Survives lost executors."""
+def written(df: DataFrame, name: str, *by: str, files: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back.  Survives lost executors.
+
+    files bounds the number of files, and so of tasks, of a table that is known to be small
+    beside the documents: narrow merging, no shuffle.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    w = (df.coalesce(files) if files else df).write
+    w.partitionBy(*by).parquet(path) if by else w.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def few(spark: SparkSession) -> int:
+    """Files of a table of ids: as many tasks as run at once, twice."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ranges_of(spark: SparkSession, total: int, range_bytes: int) -> int:
+    """How many ranges a table of so many bytes is dealt in: of range_bytes each, and larger ones beyond MOST_RANGES of them."""
+    return max(2 * spark.sparkContext.defaultParallelism, min(MOST_RANGES, -(-total // range_bytes)))
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, and afterwards what a worker no longer uses goes back to the system, as it may idle beside other stages."""
 
+    @functools.wraps(run)
+    def whole(rows):
+        try:
+            yield from run(rows)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # not glibc
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return whole
 
 
 #: Bits of one bitmap, and most bitmaps of a filter: 8 MB at most, however many ids it is made from.
@@ -81,15 +137,17 @@ def split_by(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFr
     is in just one part; a null key is like any other.
     """
     maps = min(MOST_MAPS, 1 + 32 * ids.count() // MAP_BITS)
-    bit = F.pmod(F.xxhash64(key), F.lit(maps * MAP_BITS))
-    at = F.expr(f"__bit div {MAP_BITS}").cast("int")
-    built = ids.select(bit.alias("__bit")).groupBy(at.alias("__at")).agg(F.bitmap_construct_agg(F.col("__bit") % MAP_BITS).alias("__map"))
-    d = df.withColumn("__bit", bit).withColumn("__at", at).join(F.broadcast(built), "__at", "left")
-    place = F.col("__bit") % MAP_BITS
-    byte = F.conv(F.hex(F.substr("__map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    d = d.withColumn("__maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
-    own = [f"`{c}`" for c in df.columns]
-    return d.where("__maybe").select(*own), d.where("NOT __maybe").select(*own)
+    bit = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(maps * MAP_BITS))
+    whole = lambda b: F.floor(b / MAP_BITS).cast("int")
+    built = ids.select(bit.alias("bit")).groupBy(whole(F.col("bit")).alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % MAP_BITS).alias("map"))
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")  # so no name can clash
+    d = df.select(own, bit.alias("bit"))
+    d = d.join(F.broadcast(built), whole(d["bit"]) == built["at"], "left")
+    place = F.col("bit") % MAP_BITS
+    byte = F.conv(F.hex(F.substr("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    d = d.select("row", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("maybe"))
+    back = [F.col("row").getField(c).alias(c) for c in df.columns]
+    return d.where("maybe").select(*back), d.where("NOT maybe").select(*back)
 
 
 def tokenizer_path(name: str) -> str:
@@ -125,7 +183,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     component's smallest id.  Every step is an equi-join on an id and a min() with map-side
     combine, so a hub's rows can be split among tasks.  Empty input gives an empty table.
     """
-    spark = edges.sparkSession
+    before = None
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
     for _ in range(rounds):
         m = e.groupBy("u").agg(F.min("v").alias("m"))
@@ -133,7 +191,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = written(large, "cc")
+        e = written(large, "cc", files=few(edges.sparkSession))
+        if before is not None:
+            drop(before)
+        before = e
         # done when every edge goes from an id with no other edge to one that is no such id
         twice = e.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("u")
         inner = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u")
@@ -144,4 +205,4 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-__all__ = ["ARROW_ROWS", "batches", "components", "drop", "kept", "ready", "scratch", "shared_dir", "split_by", "tokenizer_path", "written"]
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "batches", "bounded", "components", "drop", "few", "freed", "kept", "ranges_of", "ready", "scratch", "shared_dir", "split_by", "tokenizer_path", "written"]

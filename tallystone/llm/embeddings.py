@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ready, written
+from .common import components, few, freed, ready, written
 
 TREES, LEAF, BLOCK = 4, 512, 1024
 #: Vectors from which the first splits are learned; every vector is then routed.
@@ -176,7 +176,7 @@ def split_again(members: DataFrame, gap: float, leaf: int, oversize: int, own_sa
                 yield pa.RecordBatch.from_arrays([t.column(0), pa.array(new, pa.int64()), t.column(1), t.column(2), t.column(3)], schema=PLACED)
 
         usable = trees.where(F.length("tree") > NODE.itemsize)
-        members = written(members.join(usable, ["grp", "leaf"], "left").select("grp", "leaf", "rep", "size", "vec", "tree").mapInArrow(deal, PLACED_SQL), "leaves")
+        members = written(members.join(usable, ["grp", "leaf"], "left").select("grp", "leaf", "rep", "size", "vec", "tree").mapInArrow(freed(deal), PLACED_SQL), "leaves")
         sizes = members.groupBy("grp", "leaf").agg(F.count(F.lit(1)).alias("n"))
     return members
 
@@ -210,7 +210,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
                 same.append(None if a is None else xxhash.xxh3_128_digest(a))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.string()), pa.array(vecs, pa.binary()), pa.array(same, pa.binary())], schema=schema)
 
-    rows = written(v.mapInArrow(clean, "vec_id long, grp string, vec binary, same binary"), "vectors")
+    rows = written(v.mapInArrow(freed(clean), "vec_id long, grp string, vec binary, same binary"), "vectors")
     valid = rows.where("grp is not null")
     own = valid.groupBy("grp", "same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     reps = valid.join(own, ["grp", "same"]).where("vec_id = rep").dropDuplicates(["grp", "rep"]).select("grp", "same", "rep", "size", "vec")
@@ -257,7 +257,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
             t = b.select(["grp", "rep", "size", "vec"]).take(pa.array(take))
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array([y for x in into for y in x], pa.int64()), t.column(1), t.column(2), t.column(3)], schema=PLACED)
 
-    members = written(reps.select("grp", "rep", "size", "vec").mapInArrow(place, PLACED_SQL), "leaves")
+    members = written(reps.select("grp", "rep", "size", "vec").mapInArrow(freed(place), PLACED_SQL), "leaves")
     members = split_again(members, gap, leaf, oversize, own_sample, ROUNDS)
     reached = members.groupBy("grp", "rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # a vector's few leaves
     members = members.join(reached, ["grp", "rep"])

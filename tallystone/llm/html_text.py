@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import freed, ready
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)(>|\Z|(?=["']))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -289,4 +289,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 text = [main_text(x) for x in c.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.column("page_id"), c.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], schema=OUT)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(freed(run), "page_id long, url string, text string, n_chars long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ready
+from .common import freed, kept, ready
 
 ORDER = 3
 #: About so many training texts a language, drawn by a hash of doc_id; the only bound, and only on learning.
@@ -156,7 +156,7 @@ def learn(train: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
                     size = 0
         yield from close()
 
-    got = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    got = drawn.mapInArrow(freed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     place = {x: i for i, x in enumerate(langs)}
     lang = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
             pred, score = predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -227,4 +227,4 @@ def keep_known(docs: DataFrame, least: float = 0.5, train_docs: int = TRAIN_DOCS
             pred, score = predict(b.column("text").to_pylist())
             yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, split_by, written
+from .common import freed, ready, split_by, written
 from .language import held_out
 
 NAMES = ("length", "word", "upper", "mark", "distinct", "top", "again", "line_again", "marked_words", "bars", "triple", "capital_words", "ends", "spread")
@@ -84,7 +84,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             at = [statistics(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(at, pa.list_(pa.float64()))], names=["doc_id", "at"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(run), "doc_id long, at array<double>")
 
 
 class Discriminant:
@@ -148,7 +148,7 @@ def _sums(rows: DataFrame, model: Discriminant | None) -> dict[int, tuple[float,
         for c, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([c] * len(t), pa.int32()), pa.array(range(len(t)), pa.int32()), pa.array(t)], schema=schema)
 
-    got = rows.select("at", "quality").mapInArrow(run, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()  # 2 (1 + D + D^2) rows
+    got = rows.select("at", "quality").mapInArrow(freed(run), "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()  # 2 (1 + D + D^2) rows
     out = {c: np.zeros(1 + D + D * D) for c in (0, 1)}
     for r in got:
         out[r["c"]][r["i"]] = r["v"]
@@ -183,7 +183,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
                 s = model.score(np.array(b.column("at").to_pylist(), np.float64).reshape(-1, D))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema)
 
-    return features.mapInArrow(run, "doc_id long, score double, predicted int")
+    return features.mapInArrow(freed(run), "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -202,4 +202,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFra
                 s = model.score(np.array([statistics(t) for t in b.column("text").to_pylist()], np.float64))
                 yield b.filter(pa.array(s >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)

@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, pattern, group whose length counts, least length.  The runs of the last two have their least length in the pattern: what is shorter can't hold a match.
 BASE = (("assign", ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]{12,}", 0, 16), ("hex", "[0-9a-f]{32,}", 0, 32))
@@ -156,13 +158,13 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def found(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with __base and __spans of a text that isn't null.  In steps, as one expression is too deep for the analyzer."""
-    d = docs.withColumns({"__base": base_spans(text), "__hot": hot_spans(text)})
-    of = lambda kind: F.filter("__hot", lambda h: h["kind"] == kind)
-    d = d.withColumn("__base", F.concat("__base", _left(of(3), F.col("__base"))))
-    d = d.withColumn("__spans", F.array_sort(F.concat("__base", _left(of(4), F.array_sort("__base")))))
-    return d.withColumn("__base", F.filter("__base", lambda b: b["kind"] < 3))
+def found(rows: DataFrame) -> DataFrame:
+    """rows of (text, row) with the columns base and spans of a text that isn't null.  In steps, as one expression is too deep for the analyzer."""
+    d = rows.select("row", "text", base_spans(F.col("text")).alias("base"), hot_spans(F.col("text")).alias("hot"))
+    of = lambda kind: F.filter("hot", lambda h: h["kind"] == kind)
+    d = d.withColumn("base", F.concat("base", _left(of(3), F.col("base"))))
+    d = d.withColumn("spans", F.array_sort(F.concat("base", _left(of(4), F.array_sort("base")))))
+    return d.select("row", F.filter("base", lambda b: b["kind"] < 3).alias("base"), "spans")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -172,17 +174,22 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     and repeated rows change nothing, an empty table gives an empty one, other columns are
     not read.
     """
-    d = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("__text"))
-    return found(d, F.col("__text")).select("doc_id", "text", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+    bounded(docs.sparkSession)
+    d = docs.select(F.struct("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return found(d).select("row.doc_id", "row.text", "base", "spans")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns, with each span of text replaced; n_chars, where there is one, follows."""
-    d = found(docs, F.coalesce("text", F.lit("")))
-    d = d.withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("__spans"))))
+    bounded(docs.sparkSession)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))  # a struct, so no name can clash
+    d = found(d)
+    text = F.col("row").getField("text")
+    d = d.select("row", "spans", F.when(text.isNotNull(), redact(text, F.col("spans"))).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return d.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ready, split_by, written
+from .common import components, drop, few, freed, ready, split_by, written
 
 T, ROWS, BANDS = 128, 4, 32
-#: Pairs whose sketches agree in fewer coordinates than this share are not compared; true pairs of 0.8 fall below it about once in 1e5.
-LEAST = 0.65
-#: Buckets up to this size are finished by comparing all their pairs, larger ones in blocks of about so many.
-SMALL, BLOCK = 8, 1024
+#: Pairs whose sketches agree in fewer coordinates than this share are not compared; true pairs of 0.8 fall below it about once in 1e7.
+LEAST = 0.60
+#: Buckets up to this size are finished by comparing all their pairs, larger ones in blocks of about so many documents and bytes of shingle sets.
+SMALL, BLOCK, BLOCK_BYTES = 8, 1024, 16 << 20
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,7 +73,6 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def sketch(s: np.ndarray, t: int = T) -> np.ndarray:
     """The t coordinates of a set of hashes, not empty."""
-    bits = t.bit_length() - 1
     best = np.full(t, np.iinfo(np.uint64).max, np.uint64)
     step = max(1, -(-6 * t // len(s)))  # so many rounds at once fill most sketches
     for first in range(0, t, step):
@@ -85,7 +84,6 @@ def sketch(s: np.ndarray, t: int = T) -> np.ndarray:
             return best
     for j in np.flatnonzero(best == np.iinfo(np.uint64).max):
         best[j] = (np.uint64(t + int(j)) << np.uint64(48)) | (mix(s ^ mix(np.uint64([t + int(j) + 1]) * M)) >> np.uint64(16)).min()
-    assert bits
     return best
 
 
@@ -118,59 +116,93 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 schema=SIGNED,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, n_shingles long, set_hash binary, sketch binary, keys array<long>")
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets are similar enough."""
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and set: the sorted shingle hashes, 8 bytes each.  Verified sets are made once from each text, not once a pair."""
+
+    def run(rows):
+        for b in rows:
+            sets = [shingles(t, k).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, set binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Are two sorted sets alike enough?  Sets whose sizes alone forbid it are not merged."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (hub, doc) whose full sets are similar enough, as (a, b) with a < b.
+
+    The sketches of a pair are compared first.  A hub's partners are dealt in blocks, and
+    its own set goes once to each block, however many partners it has.
+    """
 
     def likely(rows):
         for b in rows:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), "<u2").reshape(b.num_rows, T) for n in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), "<u2").reshape(b.num_rows, T) for n in ("sx", "sy"))
             keep = pa.array((x == y).mean(1) >= LEAST)
-            yield b.select(["a", "b"]).filter(keep)
+            yield b.select(["hub", "doc"]).filter(keep)
 
     def same(rows):
-        last, known = None, None
+        at, known = None, None
         for b in rows:
-            keep = []
-            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("ta"), b.column("tb"), strict=True):
-                if a != last:
-                    last, known = a, shingles(ta.as_py(), k)
-                other = shingles(tb.as_py(), k)
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(known) + len(other) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    near = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-    near = near.select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long")
-    full = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return full.select("a", "b", "ta", "tb").mapInArrow(same, "a long, b long")
-
-
-def compared(many: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+            out = []
+            for hub, part, doc, s in zip(*(b.column(n).to_pylist() for n in ("hub", "part", "doc")), b.column("set"), strict=True):
+                x = np.frombuffer(s.as_buffer(), "<u8")
+                if doc is None:  # comes first in its block
+                    at, known = (hub, part), x
+                else:
+                    assert at == (hub, part)
+                    if similar(known, x, percent):
+                        out.append((min(hub, doc), max(hub, doc)))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=PAIR)
+
+    near = pairs.join(sketches.select(F.col("doc_id").alias("doc"), F.col("sketch").alias("sy")), "doc").join(sketches.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("sx")), "hub")
+    spark = pairs.sparkSession
+    near = written(near.select("hub", "doc", "sx", "sy").mapInArrow(freed(likely), "hub long, doc long"), "likely-pairs", files=few(spark))
+    own = sets.select(F.col("doc_id").alias("doc"), "set")
+    # partners are read one by one, so a task holds a hub's set and one other, however long a block is
+    blocks = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = near.join(blocks, "hub").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("hub", "part", "doc")
+    partners = dealt.join(own, "doc").select("hub", "part", "doc", "set")
+    heads = dealt.select("hub", "part").distinct().join(own.withColumnRenamed("doc", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("doc"), "set")
+    both = partners.unionByName(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("doc").asc_nulls_first())
+    return both.mapInArrow(freed(same), "a long, b long")
+
+
+def compared(many: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A forest of the links between different components c among the docs of each hub; many: distinct (hub, doc, c)."""
-    parts = many.groupBy("hub", "c").agg(F.count(F.lit(1)).alias("size"))
-    largest = parts.groupBy("hub").agg(F.max(F.struct("size", "c")).alias("top"), F.sum("size").alias("all"))
-    largest = largest.select("hub", F.col("top.c").alias("top"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("rest")).where("rest > 0")
+    many = many.join(sets.select(F.col("doc_id").alias("doc"), F.octet_length("set").alias("bytes")), "doc")
+    parts = many.groupBy("hub", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
+    most = lambda size, bytes_: F.ceil(F.greatest(size / BLOCK, bytes_ / BLOCK_BYTES)).cast("int")
+    largest = parts.groupBy("hub").agg(F.max(F.struct("size", "bytes", "c")).alias("top"), F.sum("size").alias("all"), F.sum("bytes").alias("heft"))
+    largest = largest.select("hub", F.col("top.c").alias("top"), most(F.col("top.size"), F.col("top.bytes")).alias("main"), most(F.col("all") - F.col("top.size"), F.col("heft") - F.col("top.bytes")).alias("rest")).where("rest > 0")
     m = many.join(largest, "hub")
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("c") == F.col("top"), F.col("main")).otherwise(F.col("rest"))).cast("int")
     m = m.withColumn("block", F.when(F.col("c") == F.col("top"), own).otherwise(F.col("main") + own))
     hubs = many.groupBy("doc").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most
     blocks = F.when(F.col("c") == F.col("top"), F.sequence("main", F.col("main") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("main") + F.col("rest") - 1))
     m = m.select("hub", "doc", "c", "block", F.explode(blocks).alias("other")).select("hub", "doc", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    m = m.join(hubs, "doc").join(sketches.select(F.col("doc_id").alias("doc"), "sketch"), "doc").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    m = m.join(hubs, "doc").join(sketches.select(F.col("doc_id").alias("doc"), "sketch"), "doc").join(sets.select(F.col("doc_id").alias("doc"), "set"), "doc")
 
     def block(t: pa.Table) -> pa.Table:
         doc, c, where = (t.column(n).to_numpy() for n in ("doc", "c", "block"))
         here, i, j = t.column("hub")[0].as_py(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(len(doc), T)
-        hubs, text, known = [set(x) for x in t.column("hubs").to_pylist()], t.column("text"), {}
+        hubs, raw = [set(x) for x in t.column("hubs").to_pylist()], t.column("set")
         a, b = np.flatnonzero(where == i), np.flatnonzero(where == j)
         root: dict[int, int] = {}
 
@@ -181,9 +213,7 @@ def compared(many: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, per
             return x
 
         def of(x: int) -> np.ndarray:
-            if x not in known:
-                known[x] = shingles(text[x].as_py(), k)
-            return known[x]
+            return np.frombuffer(raw[x].as_buffer(), "<u8")
 
         out: list[tuple[int, int]] = []
         for x in a.tolist():
@@ -192,9 +222,7 @@ def compared(many: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, per
                 u, v = find(int(c[x])), find(int(c[y]))
                 if u == v or min(hubs[x] & hubs[y]) < here:
                     continue
-                p, q = of(x), of(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both and 100 * both >= percent * (len(p) + len(q) - both):
+                if similar(of(x), of(y), percent):
                     root[max(u, v)] = min(u, v)
                     out.append((min(int(doc[x]), int(doc[y])), max(int(doc[x]), int(doc[y]))))
         return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=PAIR)
@@ -210,32 +238,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with a null doc_id gets a null component and isn't kept.  Rows that share a doc_id are
     one node.  An empty table gives an empty one; other columns are not read.
     """
-    ready(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
+    small = few(spark)
     docs = docs.select("doc_id", "text")
     sig = written(signatures(docs, k), "signatures")
     nodes = sig.where("doc_id is not null and n_shingles > 0")
-    classes = written(nodes.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = nodes.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     reps = written(nodes.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sketch", "keys"), "representatives")
     rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    member = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "members")
-    central = member.groupBy("doc").agg(F.sum("n").alias("company"))
-    hubs = member.join(central, "doc").groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("doc").alias("d"))).alias("h")).select("key", F.bitwise_not("h.d").alias("hub"))
-    member = written(member.join(hubs, "key"), "members")
+    shared = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "shared-keys", files=small)
+    central = shared.groupBy("doc").agg(F.sum("n").alias("company"))
+    hubs = shared.join(central, "doc").groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("doc").alias("d"))).alias("h")).select("key", F.bitwise_not("h.d").alias("hub"))
+    member = written(shared.join(hubs, "key"), "members", files=small)
     named = member.select(F.col("doc").alias("doc_id")).distinct()
-    texts = written(split_by(docs, "doc_id", named)[0].join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sets = split_by(docs, "doc_id", named)[0].join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(shingle_sets(sets, k), "shingle-sets")
 
-    star = member.where("doc <> hub").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
-    links = written(verified(star, reps, texts, k, percent), "links")
-    comp = components(links, "a", "b").withColumnRenamed("id", "doc")
+    star = member.where("doc <> hub").select("hub", "doc").distinct()
+    first = written(verified(star, reps, sets, percent), "links", files=small)
+    comp = components(first, "a", "b").withColumnRenamed("id", "doc")
     state = member.join(comp, "doc", "left").select("key", "doc", "hub", "n", F.coalesce("component", "doc").alias("c"))
     several = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    state = written(state.where("n > 2").join(several, "key", "left_semi"), "open")
-    few = state.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("doc", "c")).alias("x"))
-    few = few.select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).where("l.doc < r.doc and l.c <> r.c").select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"))
+    state = written(state.where("n > 2").join(several, "key", "left_semi"), "open", files=small)
+    pairs = state.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("doc", "c")).alias("x"))
+    pairs = pairs.select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).where("l.doc < r.doc and l.c <> r.c").select(F.col("l.doc").alias("hub"), F.col("r.doc").alias("doc"))
     many = state.where(F.col("n") > SMALL).select("hub", "doc", "c").distinct()
-    found = verified(few.distinct(), reps, texts, k, percent).unionByName(compared(many, reps, texts, k, percent))
-    links = written(links.unionByName(found), "links")
+    found = verified(pairs.distinct(), reps, sets, percent).unionByName(compared(many, reps, sets, percent))
+    links = written(first.unionByName(found), "links", files=small)
     comp = components(links, "a", "b")
+    drop(shared, member, sets, state, first, reps)
 
     of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_hash").join(of, "set_hash", "left")

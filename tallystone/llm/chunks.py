@@ -1,4 +1,4 @@
-"""Cached encoding: whole texts are cut where no token can reach across, and each distinct piece is encoded once.
+"""Cached encoding: whole texts are cut where no token can reach across, and each piece in the table is encoded once.
 
 Both vocabularies cut a text into pre-tokens by a pattern, and no token reaches across a
 cut, so the ids of a text are the ids of its pre-tokens, or of pieces between blanks, joined.
@@ -14,8 +14,8 @@ import numpy as np
 
 from .common import kept
 
-#: Pieces in each of the two generations that one Python worker keeps; longer pieces are not kept.
-CACHE_PIECES, LONG = 200_000, 100
+#: Bytes in each of the two generations that one Python worker keeps, what an entry takes besides its texts, and pieces too long to keep.
+CACHE_BYTES, ENTRY, LONG = 64 << 20, 150, 100
 
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python's re and str, but not to the tokenizer's pattern.
@@ -39,37 +39,6 @@ def split_spaced(text: str) -> list[str] | None:
     return None if _ODD.search(text) else _PIECES.findall(text)
 
 
-class PieceTable:
-    """Piece -> its ids' bytes, in two generations: a full young one becomes the old one.  Results don't depend on it."""
-
-    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
-
-    def join(self, cut: list[list[str] | None]) -> list[bytes | None]:
-        """The joined ids of each list of pieces; None stays."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        missing: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                missing |= set(pieces).difference(young)
-        new = []
-        for p in missing:
-            if (x := old.get(p)) is None:
-                new.append(p)
-            else:
-                young[p] = x
-        if new:
-            young.update(zip(new, self.make(new), strict=True))
-        get = young.__getitem__
-        out = [None if p is None else b"".join(map(get, p)) for p in cut]
-        for p in new:
-            if len(p) > LONG:
-                del young[p]
-        return out
-
-
 #: Letters, numbers and white space of Latin-1, as the vocabularies' patterns see them.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: The two vocabularies' own cutting into pre-tokens, for texts of Latin-1 only: their other characters don't occur there.
@@ -77,23 +46,29 @@ _PRETOKENS = {
     "split_words": re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^{_S}{_L}{_N}]+"),
     "split_spaced": re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
 }
+LATIN_WORDS = _PRETOKENS["split_words"]
 
 
 class Kept(dict):
     """string -> its ids' bytes, made where missing, in two generations: a full one becomes the old one.  Results don't depend on it."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.size = make, most, {}, 0
 
-    def __missing__(self, s: str) -> bytes:
-        if (x := self.old.get(s)) is None:
-            x = self.make(s)
+    def keep(self, s: str, x: bytes) -> None:
         if len(s) <= LONG:
-            if len(self) >= self.most:
-                self.old = dict(self)
+            self.size += len(s) + len(x) + ENTRY
+            if self.size > self.most:
+                self.old, self.size = dict(self), len(s) + len(x) + ENTRY
                 self.clear()
             self[s] = x
+
+    def __missing__(self, s: str) -> bytes:
+        x = self.old.get(s)
+        if x is None:
+            x = self.make(s)
+        self.keep(s, x)
         return x
 
 
@@ -121,7 +96,7 @@ class ChunkEncoder:
         self.bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.data = [int(i).to_bytes(self.kind.itemsize, "little") for i in range(max(self.tok.get_vocab().values()) + 1)]
         self.model, self.split, self.cut = self.tok.model, split, _PRETOKENS[split.__name__].findall
-        self.pretokens, self.pieces = Kept(self._pretoken, CACHE_PIECES), Kept(self._whole, CACHE_PIECES)
+        self.pretokens, self.pieces = Kept(self._pretoken), Kept(self._whole)
 
     def _pretoken(self, word: str) -> bytes:
         data = self.data

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import encoder, split_spaced
-from .common import ready, tokenizer_path, written
+from .common import few, freed, ready, tokenizer_path, written
 
 SIZE = 1024
+#: Pieces in a file of the result; a row has about 50 bytes.
+FILE_ROWS = 2_000_000
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -35,9 +37,6 @@ def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
             steps.append((length, take, reach))
             reach |= reach << length * take & mask
             left, k = left - take, k * 2
-        if reach >> room & 1:
-            # full already, but longer pieces are harder to place: go on only to use them first
-            continue
     want, used = reach.bit_length() - 1, {}
     for length, take, before in reversed(steps):
         if want >= length * take and before >> want - length * take & 1:
@@ -110,7 +109,7 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, size: int) -> DataFrame:
                         at = to
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(freed(run), PIECES)
 
 
 def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, size: int = SIZE) -> DataFrame:
@@ -126,6 +125,7 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, siz
     own = own.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n"))
     histogram = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     table = np.array(runs(plan(histogram, size)) or [(0, 0, 0, 1, 0)], np.int64)
+    files = max(few(docs.sparkSession), -(-sum(histogram.values()) // FILE_ROWS))
     out = p.join(own.select("length", "task", "before"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset"))])
 
@@ -141,4 +141,4 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, siz
             cols = [b.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(r[:, 2] + nth // r[:, 3]), pa.array(r[:, 4] + length * (nth % r[:, 3]))], schema=schema)
 
-    return out.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.coalesce(files).mapInArrow(freed(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

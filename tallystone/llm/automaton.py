@@ -1,85 +1,111 @@
 """Operator 9: byte-pair encoding by a tokenization automaton.
 
-The automaton reads tokens; a word's encoding is its one accepted spelling.  It starts with
-one state that loops on every base symbol.  Each merge u v -> w, in order, is a gadget: the
-state behind u loses its arc v, w becomes an arc wherever u is one, and the state behind w
-is a copy of the state behind v.  Each token leads to a state of its own, so the gadgets
-are three columns (left part, right part, rank), and an arc of the final automaton is
-worked out from them once, then kept in the transition table.
-
-A word is encoded left to right: at each position exactly one token that ends there
-continues the accepted path of what stands before it.  Decoding emits the arcs' labels.
+The automaton reads tokens; a word's encoding is its one accepted spelling.  Each token
+leads to a state of its own, so a state is the last token read, and the transition table
+says of every state and token whether there is an arc.  It starts with arcs between all
+base symbols and is compiled by one gadget a merge u v -> w, in order: the state behind w
+becomes a copy of the state behind v, the state behind u loses its arc v, and w becomes an
+arc wherever u is one.  A token that ends a word has no arcs behind it and no row.
+
+The table is one bit a state and token, kept as an index of distinct blocks of bits: compiled
+once on the driver, sent to each machine as a file, and mapped by its workers.  A word is encoded left to right by looking up arcs:
+at each position exactly one token that ends there continues the accepted path of what
+stands before it.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import os
 import re
+import shutil
+import tempfile
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import PieceTable, byte_letters, split_words
-from .common import kept, ready, tokenizer_path
+from .chunks import LATIN_WORDS, LONG, Kept, byte_letters
+from .common import freed, kept, ready, tokenizer_path
 
-#: Entries of the transition table that one Python worker keeps, and the longest word spelled beside others.
-ARCS, BESIDE = 1 << 20, 24
+#: The longest word spelled beside others.
+BESIDE = 24
+#: Bytes of a block of the table.
+WIDE = 64
 #: Odd multipliers of the hashes of substrings and of pairs.
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def compiled(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens in the order they are made, and the transition table: for each of them a row of bits, one a state that has the arc.
+
+    States are the tokens that don't end a word, in the same order.
+    """
+    vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+    inner = lambda s: not suffix or not s.endswith(suffix)
+    letters = byte_letters()
+    base = [s for x in letters for s in dict.fromkeys((x, x + suffix)) if s in vocab]
+    merges = [(m, "".join(m)) for m in (tuple(m) if isinstance(m, (list, tuple)) else tuple(m.split(" ")) for m in model["merges"])]
+    states = sum(map(inner, base)) + sum(inner(w) for _, w in merges)
+    table = np.zeros((len(base) + len(merges), -(-states // 8)), np.uint8)
+    arc = {s: i for i, s in enumerate(base)}  # a token's row of the table
+    state = {s: i for i, s in enumerate(filter(inner, base))}
+    table[: len(base)] = np.packbits(np.arange(table.shape[1] * 8) < len(state), bitorder="little")
+    for (u, v), w in merges:
+        if u not in state or v not in arc or not table[arc[v], state[u] >> 3] >> (state[u] & 7) & 1:
+            continue  # no path through u and v: the gadget adds nothing
+        if w in arc:
+            raise ValueError(f"two merges make {w!r}")
+        n, (at, bit) = len(arc), divmod(state[u], 8)
+        if v in state:
+            new, (old_at, old_bit) = len(state), divmod(state[v], 8)
+            table[:n, new >> 3] |= (table[:n, old_at] >> old_bit & 1) << (new & 7)
+            state[w] = new
+        table[arc[v], at] &= 255 ^ 1 << bit
+        table[n] = table[arc[u]]
+        arc[w] = n
+    return np.array([vocab[s] for s in arc], np.int64), table[: len(arc)]
+
+
+def in_blocks(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same table as (index, blocks): block index[row, i] holds bytes i * WIDE .. of a row.  Most blocks are alike."""
+    n, width = table.shape
+    whole = np.zeros((n, -(-width // WIDE) * WIDE), np.uint8)
+    whole[:, :width] = table
+    blocks, index = np.unique(whole.reshape(-1, WIDE).view(f"V{WIDE}").ravel(), return_inverse=True)
+    return index.astype(np.int32).reshape(n, -1), blocks.view(np.uint8).reshape(-1, WIDE)
+
+
 class Automaton:
-    """Compiled from the merges of a vocabulary file."""
+    """Compiled from the merges of a vocabulary file, or with the order, index and blocks that were compiled from it before."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, made: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         n = max(self.vocab.values()) + 1
-        self.n, self.left, self.right, self.rank = n, [-1] * n, [-1] * n, [-1] * n
-        #: The rank of the merge that takes arc v from the state behind u, by u * n + v.
-        self.lost: dict[int, int] = {}
-        letters = byte_letters()
-        self.made = made = {s: self.vocab[s] for x in letters for s in (x, x + self.suffix) if s in self.vocab}
-        for k, pair in enumerate(model["merges"]):
-            u, v = (made.get(x) for x in (pair if isinstance(pair, (list, tuple)) else pair.split(" ")))
-            if u is None or v is None or not self._open(u, v, k):
-                continue  # no path through u and v: the gadget adds nothing
-            w = "".join(pair) if isinstance(pair, (list, tuple)) else pair.replace(" ", "")
-            if w in made:
-                raise ValueError(f"two merges make {w!r}")
-            made[w] = t = self.vocab[w]
-            self.left[t], self.right[t], self.rank[t] = u, v, k
-            self.lost[u * n + v] = k
-        self.longest = max(map(len, made))
+        if made is None:
+            order, table = compiled(model)
+            made = (order, *in_blocks(table))
+        order, self.index, self.blocks = made
         self.label = [""] * n
         for s, t in self.vocab.items():
             self.label[t] = s
+        self.made = {self.label[t]: t for t in order.tolist()}
+        self.longest = max(map(len, self.made))
+        #: Of each token its row of the table, and its state; -1 for none.
+        self.arc, self.state = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.arc[order] = np.arange(len(order))
+        inner = order[[not self.suffix or not self.label[t].endswith(self.suffix) for t in order.tolist()]]
+        self.state[inner] = np.arange(len(inner))
         self._tables()
 
-    def _open(self, a: int, b: int, limit: int) -> bool:
-        """Does the state behind a have arc b once the merges below limit are in?"""
-        left, right, rank, lost, n = self.left, self.right, self.rank, self.lost, self.n
-        while True:
-            if lost.get(a * n + b, limit) < limit:
-                return False
-            ra, rb = rank[a], rank[b]
-            if ra > rb:  # the state is a copy, made before that merge took an arc away, of the one behind its right part
-                limit, a = ra, right[a]
-            elif rb >= 0:  # the arc was added beside its left part's, after that merge took an arc away
-                limit, b = rb + 1, left[b]
-            else:
-                return True
-
     def _tables(self) -> None:
-        """The same as arrays, for many words at once."""
-        self.l, self.r, self.k = (np.array(x, np.int64) for x in (self.left, self.right, self.rank))
-        keys = np.array(sorted(self.lost), np.int64)
-        self.lost_keys, self.lost_ranks = keys, np.array([self.lost[x] for x in keys.tolist()], np.int64)
-        self.arc_keys, self.arc_open = np.full(ARCS, -1, np.int64), np.zeros(ARCS, bool)
+        """Tokens by the hashes of their strings, for many words at once."""
         self.symbol = {x: i + 1 for i, x in enumerate(byte_letters())}
         tokens = list(self.made.items())
         hashes = np.array([self._hash(s) for s, _ in tokens], np.uint64)
@@ -117,37 +143,11 @@ class Automaton:
             at[live] += 1
         return out
 
-    def _open_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """_open() of whole columns, without limit."""
-        out, live = np.ones(len(a), bool), np.arange(len(a))
-        a, b, limit = a.copy(), b.copy(), np.full(len(a), 1 << 60)
-        while len(live):
-            x, y = a[live], b[live]
-            key = x * self.n + y
-            i = np.minimum(np.searchsorted(self.lost_keys, key), len(self.lost_keys) - 1)
-            gone = (self.lost_keys[i] == key) & (self.lost_ranks[i] < limit[live])
-            out[live[gone]] = False
-            ra, rb = self.k[x], self.k[y]
-            copy, beside = ~gone & (ra > rb), ~gone & (ra <= rb) & (rb >= 0)
-            c, d = live[copy], live[beside]
-            limit[c], a[c] = ra[copy], self.r[x[copy]]
-            limit[d], b[d] = rb[beside] + 1, self.l[y[beside]]
-            live = live[copy | beside]
-        return out
-
     def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Entries of the transition table; those not in it yet are worked out from the gadgets."""
-        key = u * self.n + v
-        at = ((key.astype(np.uint64) * SPREAD) >> np.uint64(44)).astype(np.int64)
-        new = np.flatnonzero(self.arc_keys[at] != key)
-        out = self.arc_open[at]
-        if len(new):
-            out[new] = got = self._open_many(u[new], v[new])
-            # two keys of one slot: the last one's both entries stay
-            self.arc_keys[at[new]] = key[new]
-            last = self.arc_keys[at[new]] == key[new]
-            self.arc_open[at[new][last]] = got[last]
-        return out
+        """Has the state behind each u the arc v?"""
+        s = self.state[u]
+        at = self.index[self.arc[v], s // (8 * WIDE)]
+        return (self.blocks[at, (s >> 3) % WIDE] >> (s & 7).astype(np.uint8) & 1).astype(bool)
 
     def spell_many(self, words: list[str]) -> list[list[int]]:
         """spell() of each word: words of one length go through the automaton side by side."""
@@ -196,6 +196,11 @@ class Automaton:
                 out[i] = ids[::-1]
         return out
 
+    def open(self, u: int, v: int) -> bool:
+        """arcs() of one state and token."""
+        s = int(self.state[u])
+        return bool(self.blocks[self.index[self.arc[v], s // (8 * WIDE)], (s >> 3) % WIDE] >> (s & 7) & 1)
+
     def spell(self, word: str) -> list[int]:
         """Ids of one pre-token, given in byte letters."""
         n, made = len(word), self.made
@@ -207,7 +212,7 @@ class Automaton:
             tail = self.suffix if i == n else ""
             for j in range(low, i):
                 t = made.get(word[j:i] + tail)
-                if t is not None and (j == 0 or self._open(last[j], t, 1 << 60)):
+                if t is not None and (j == 0 or self.open(last[j], t)):
                     last[i], size[i] = t, i - j
                     break
             else:
@@ -222,12 +227,12 @@ class Automaton:
 class Encoder:
     """The whole path from text to ids for the lower-casing vocabulary: clean, cut, spell."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, made: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.auto = Automaton(spec)
+        self.auto = Automaton(spec, made)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True))) if self.added else None
         self.words = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V1)
@@ -236,21 +241,25 @@ class Encoder:
         for s, i in self.added.items():
             self.label += [""] * (i + 1 - len(self.label))
             self.label[i] = s
-        self.table = PieceTable(self.pieces)
-
-    def pieces(self, raw: list[str]) -> list[bytes]:
-        """Clean, cut and spell each of these."""
-        cut, words = [], {}
-        for x in raw:
-            s = x.lower() if x.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", x)))
-            ws = [s] if s.isascii() and s.isalpha() else self.words.findall(s)
-            for w in ws:
-                words.setdefault(w, len(words))
-            cut.append(ws)
+        self.kind = np.dtype("<u2" if len(self.label) < 65536 else "<u4")
+        self.table = Kept(lambda w: self._spelled([w])[0])
+
+    def _spelled(self, words: list[str]) -> list[bytes]:
         letters = self.letters
-        spelled = self.auto.spell_many([w if w.isascii() and w.isalpha() else "".join([letters[b] for b in w.encode()]) for w in words])
-        packed = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, spelled, strict=True)}
-        return [packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for ws in cut]
+        coded = [w if w.isascii() and w.isalpha() else "".join([letters[b] for b in w.encode()]) for w in words]
+        got = self.auto.spell_many(coded) if len(words) > 8 else list(map(self.auto.spell, coded))
+        ends = np.cumsum([0, *map(len, got)]).tolist()
+        whole, width = np.array([x for ids in got for x in ids], self.kind).tobytes(), self.kind.itemsize
+        return [whole[width * a : width * b] for a, b in zip(ends, ends[1:])]
+
+    def _words(self, text: str) -> list[str]:
+        """Clean and cut."""
+        try:
+            text.encode("latin-1")  # composed already, and lower case by character
+            return LATIN_WORDS.findall(text.lower())
+        except UnicodeEncodeError:
+            pass
+        return self.words.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; null is empty."""
@@ -258,13 +267,23 @@ class Encoder:
         for t in texts:
             at = 0
             for m in self.cut.finditer(t or "") if self.cut is not None else ():
-                parts += (t[at : m.start()], self.added[m[0]])
+                parts += (self._words(t[at : m.start()]) if m.start() > at else [], self.added[m[0]])
                 at = m.end()
-            parts.append((t or "")[at:])
+            parts.append(self._words(t[at:]) if t and at < len(t) else [])
             ends.append(len(parts))
-        got = self.table.join([split_words(x) if isinstance(x, str) and x else [] for x in parts])
-        got = [np.array([x], "<u4").tobytes() if isinstance(x, int) else y for x, y in zip(parts, got, strict=True)]
-        return [got[b - 1] if b - a == 1 else b"".join(got[a:b]) for a, b in zip([0, *ends], ends)]
+        table = self.table
+        new = [w for w in set().union(*[x for x in parts if not isinstance(x, int)]) if w not in table]
+        old = table.old  # as it is now: the generations may turn below
+        for i in range(0, len(new), 50_000):  # so that words spelled beside each other take bounded memory
+            some = [w for w in new[i : i + 50_000] if w not in old and len(w) <= LONG]
+            made = dict(zip(some, self._spelled(some), strict=True))
+            for w in new[i : i + 50_000]:
+                if (x := made.get(w) or old.get(w)) is not None:
+                    table.keep(w, x)
+        get, kind = table.__getitem__, self.kind
+        got = [np.array([x], kind).tobytes() if isinstance(x, int) else b"".join(map(get, x)) for x in parts]
+        got = [got[b - 1] if b - a == 1 else b"".join(got[a:b]) for a, b in zip([0, *ends], ends)]
+        return [np.frombuffer(x, kind).astype("<u4").tobytes() for x in got]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
@@ -274,8 +293,46 @@ class Encoder:
         return " ".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encoder_for(path: str) -> Encoder:
-    return kept(("automaton", path), lambda: Encoder(path))
+_sent: dict[tuple[str, str], str] = {}
+
+
+def sent_table(spark, path: str) -> str:
+    """Compile a vocabulary file's table, once a session, and send it to all machines; gives the name of the file.
+
+    For 49,000 tokens of which 15,000 don't end a word: 92 MB of bits on the driver, once, and 14 MB of blocks that are sent.
+    """
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _sent:
+        folder = tempfile.mkdtemp(prefix="tallystone-table-")  # the driver's own copy, which it serves
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        name = f"transitions-{uuid.uuid4().hex[:12]}"
+        with open(path, encoding="utf-8") as f:
+            order, table = compiled(json.load(f)["model"])
+        with open(os.path.join(folder, name), "wb") as f:
+            for x in (order, *in_blocks(table)):
+                np.save(f, x)
+        sc.addFile(os.path.join(folder, name))
+        _sent[sc.applicationId, path] = name
+    return _sent[sc.applicationId, path]
+
+
+def encoder_for(path: str, name: str) -> Encoder:
+    """A worker's encoder, with the machine's copy of the table mapped, not read."""
+
+    def made() -> Encoder:
+        from pyspark import SparkFiles
+
+        parts = []
+        with open(SparkFiles.get(name), "rb") as f:
+            for _ in range(3):
+                np.lib.format.read_magic(f)
+                shape, _, dtype = np.lib.format.read_array_header_1_0(f)
+                at = f.tell()  # mapping moves it
+                parts.append(np.asarray(np.memmap(f, dtype, "r", at, shape)))
+                f.seek(at + parts[-1].nbytes)
+        return Encoder(path, tuple(parts))
+
+    return kept(("automaton", name), made)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
@@ -290,9 +347,10 @@ def bpe(docs: DataFrame, vocab: str = "word_bpe_49k.json", digest: bool = False)
     """
     ready(docs.sparkSession)
     path = tokenizer_path(vocab)
+    name = sent_table(docs.sparkSession, path)
 
     def run(rows):
-        enc = encoder_for(path)
+        enc = encoder_for(path, name)
         for b in rows:
             for i in range(0, b.num_rows, 500):
                 c = b.slice(i, 500).to_pydict()
@@ -306,4 +364,4 @@ def bpe(docs: DataFrame, vocab: str = "word_bpe_49k.json", digest: bool = False)
                     yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(text)], schema=OUT)
 
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, n_tokens long, ids binary, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "text").mapInArrow(freed(run), kind)

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import encoder, split_words
-from .common import ready, scratch, tokenizer_path, written
+from .common import MOST_RANGES, freed, ranges_of, ready, scratch, tokenizer_path, written
 
 BLOCK = 512
 MAGIC = b"DAC8"
-#: Text that one range of documents should hold, and tokens after which a file is closed.
+#: Text that one range of documents should hold, as long as there aren't too many ranges, and tokens after which a file is closed.
 RANGE_BYTES, FILE_TOKENS = 32 << 20, 6_000_000
 
 
@@ -134,19 +134,36 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int = 1, range_b
     A null text is empty and so holds only the end id.  A null doc_id comes first.  Rows
     that share a doc_id are kept, ordered by a hash of their text.  An empty table writes
     no file.  Only these two columns are read.
+
+    Texts are encoded where they are read; only ids are shuffled, each range of ids to a task of its own.
     """
-    ready(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
     d = docs.select("doc_id", "text")
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // range_bytes))
-    tie = F.xxhash64("text")
-    d = d.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    ranges = ranges_of(spark, total, range_bytes)
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    cuts = d.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
+    cuts = np.unique(np.array(cuts, np.int64))
+    coded = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
+
+    def encode(rows):
+        enc = encoder(vocab, split_words)
+        end = np.array([end_id], enc.kind if end_id < 65536 else "<u4")
+        for b in rows:
+            for i in range(0, b.num_rows, 200):
+                c = b.slice(i, 200)
+                part = np.searchsorted(cuts, c.column("k").to_numpy(), "right").astype(np.int32)
+                ids = [np.concatenate((x, end)).astype(end.dtype).tobytes() for x in enc.encode(c.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(part), c.column("doc_id"), c.column("tie"), pa.array([end.itemsize > 2] * len(ids)), pa.array(ids, pa.binary())], schema=coded)
+
+    d = d.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(freed(encode), "part int, doc_id long, tie long, wide boolean, ids binary")
+    d = d.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def write(rows):
         from pyspark import TaskContext
 
-        enc, at, part = encoder(vocab, split_words), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.kind if end_id < 65536 else "<u4")
+        at, part = TaskContext.get().partitionId(), 0
         keys, parts, sizes, held = [], [], [], 0
 
         def close():
@@ -159,27 +176,28 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int = 1, range_b
             return out
 
         for b in rows:
-            for i in range(0, b.num_rows, 200):
-                c = b.slice(i, 200).to_pydict()
-                for k, ids in zip(c["doc_id"], enc.encode(c["text"]), strict=True):
-                    keys.append(k)
-                    parts += (ids, end)
-                    sizes.append(len(ids) + 1)
-                    held += len(ids) + 1
+            for k, wide, raw in zip(*(b.column(n).to_pylist() for n in ("doc_id", "wide", "ids")), strict=True):
+                keys.append(k)
+                parts.append(np.frombuffer(raw, "<u4" if wide else "<u2"))
+                sizes.append(len(parts[-1]))
+                held += sizes[-1]
                 if held >= file_tokens:
                     yield close()
         if keys:
             yield close()
 
-    return written(d.mapInArrow(write, MANIFEST), "token-manifest")
+    return written(d.select("doc_id", "wide", "ids").mapInArrow(freed(write), MANIFEST), "token-manifest")
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
     """From the files themselves, for each document: doc_id, start, n_tokens, ids_crc32, file."""
     ready(manifest.sparkSession)
-    n = max(1, manifest.count())
-    order = Window.orderBy("range", "part")  # one row a file
-    m = manifest.withColumn("base", F.sum("tokens").over(order) - F.col("tokens")).select("path", "base").repartition(n)
+    n = min(MOST_RANGES, max(1, manifest.count()))
+    # the tokens before a range, by one row a range; those before a file, within its range
+    ranges = manifest.groupBy("range").agg(F.sum("tokens").alias("all"))
+    ranges = ranges.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("before"))
+    mine = F.sum("tokens").over(Window.partitionBy("range").orderBy("part")) - F.col("tokens")
+    m = manifest.withColumn("mine", mine).join(ranges, "range").select("path", (F.col("before") + F.col("mine")).alias("base")).repartition(n)
 
     def read(rows):
         for b in rows:
@@ -190,7 +208,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(starts[:-1], starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((f.doc_ids, starts[:-1] + base, np.diff(starts), crc, [path] * len(crc)), ROWS, strict=True)], schema=ROWS)
 
-    return m.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return m.mapInArrow(freed(read), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_store(docs: DataFrame, vocab: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:

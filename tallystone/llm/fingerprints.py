@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import freed, ranges_of, ready
 from .minhash import mix
 
 #: Cells of a published fingerprint, and of the first table that is tried; a multiple of 3.
+#: Two published tables subtract and peel for about 15 differing passages; likeness() makes larger tables from the texts for more.
 CELLS = 24
+#: Text that one range of documents should hold, as long as there aren't too many ranges.
 RANGE_BYTES = 24 << 20
 _CUT = re.compile(r"[\r\n]+|(?<=[.!?])[ \t]+")
 
@@ -150,7 +152,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     A null text is empty.  Null ids come last; rows that share an id follow a hash of their
     text.  A table of one row is its own next; an empty table gives an empty one.
 
-    Texts are shuffled once, to ranges of ids; the first document of each range is also sent
+    Texts are shuffled once, each range of ids to a task of its own; the first document of each range is also sent
     to the range before it, so that no neighbour is missing.
     """
     spark = docs.sparkSession
@@ -158,7 +160,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     d = docs.select("doc_id", "text")
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    ranges = min(max(2 * spark.sparkContext.defaultParallelism, -(-(stats["b"] or 0) // range_bytes)), max(1, stats["n"]))
+    ranges = min(ranges_of(spark, stats["b"] or 0, range_bytes), max(1, stats["n"]))
     at = [i / ranges for i in range(1, ranges)]
     cuts = d.select(F.percentile_approx(key, at, max(10_000, 10 * ranges)).alias("q")).first()["q"] if at and stats["n"] else []
     cuts = np.unique(np.array(cuts or [], np.int64))
@@ -176,7 +178,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         i = np.flatnonzero(any_)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(best[i])], schema=keyed)
 
-    found = d.select(key.alias("k")).mapInArrow(tops, "part int, top long").groupBy("part").agg(F.max("top").alias("top")).collect()  # a row a range
+    found = d.select(key.alias("k")).mapInArrow(freed(tops), "part int, top long").groupBy("part").agg(F.max("top").alias("top")).collect()  # a row a range
     heads = sorted((r["part"], r["top"]) for r in found)
     before = {top: heads[i - 1][0] if i else heads[-1][0] for i, (_, top) in enumerate(heads)}  # who else needs a range's first document
     send = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("turn", pa.int8()), ("doc_id", pa.int64()), ("text", pa.string())])
@@ -193,8 +195,8 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             t = b.take(take)
             yield pa.RecordBatch.from_arrays([pa.array(part), t.column("k"), pa.array(turn), t.column("doc_id"), t.column("text")], schema=send)
 
-    dealt = d.select(key.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "part int, k long, turn byte, doc_id long, text string")
-    dealt = dealt.repartition(max(1, ranges), "part").sortWithinPartitions("part", "turn", F.col("k").desc(), F.xxhash64("text"))
+    dealt = d.select(key.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(freed(deal), "part int, k long, turn byte, doc_id long, text string")
+    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "turn", F.col("k").desc(), F.xxhash64("text"))
 
     def walk(rows):
         ids, texts, after, size = [], [], [], 0
@@ -213,5 +215,4 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         if ids:
             yield report(ids, texts, after)
 
-    return dealt.mapInArrow(walk, ", ".join(f"{n} {k}" for n, _, k in FIELDS))
-
+    return dealt.mapInArrow(freed(walk), ", ".join(f"{n} {k}" for n, _, k in FIELDS))

@@ -7,13 +7,17 @@ and the link-adjusted density
     C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e)),
 
 with 1 for a zero divisor; b is the body.  A node's sum is that of its children's
-densities.  The node with the largest sum is the core; the least density on the path from
-the core up to the body is the threshold, and beside the core those blocks stay whose
-density reaches it.  Where the core stands in an article or main element, the outermost
-article below main, or main itself, takes the core's place, and beside it articles that
-aren't mostly links stay, and blocks by the same threshold.  Inside article and main only
-whole names of advertisements and remarks drop a part, and names of bars where at least
-half of the part is links.
+densities.  The block with the largest sum is the core, and all of it stays; the least
+density on the path from the core up to the body is the threshold.  Beside that path stay
+blocks that aren't mostly links and whose density reaches the threshold, as well as two
+kinds that are too short to reach it: paragraphs, headings and lists that stand where the
+path's own parts stand, and repetitions of a part of the path (same element, same class).
+
+A name tells of boilerplate in two ways.  Remarks, advertisements and whole names go
+wherever they stand; other names, as they also tell of the layout, only where the part
+doesn't hold the core that densities find before any name is used.  Inside article and main
+only names of advertisements and remarks drop a part, and names of bars where at least half
+of the part is links.  Nothing depends on the share that a part has of the page.
 """
 
 from __future__ import annotations
@@ -44,11 +48,18 @@ _WORD = (
 )
 _NAME = re.compile(rf"(?:^|[\s_-])(?<!\bhas[-_])(?<!\bwith[-_])(?<!\bno[-_])(?<!\bwithout[-_]){_WORD}(?!-(?:open|closed|off|on)\b)(?:$|[\s_-])", re.I)
 _WHOLE = re.compile(rf"(?:^|\s){_WORD}(?:$|\s)", re.I)
-_REMARKS = re.compile(r"comment|disqus|respond|repl(?:y|ies)|sidebar|^ads?$|advert", re.I)
+#: Names of readers' remarks: these words alone, at the end of a name, or before a word for their place; an id made from a title goes on otherwise.
+_REMARKS = re.compile(
+    r"(?:^|\s)(?:[\w-]+[_-])?(?<!\bhas[-_])(?<!\bwith[-_])(?<!\bno[-_])(?<!\bwithout[-_])"
+    r"(?:comments?|commentlist|replies|disqus\w*|respond|(?:readers?|users?|visitors?)[_-](?:responses|remarks))(?:[_-](?:area|sections?|list|wrap|wrapper|container|block|box|threads?|feed|form|template|body|content|items?|\d+))*(?:$|\s)",
+    re.I,
+)
 #: Names that drop a part inside an article: as they are, and only with at least half of the part in links.
 _SURE = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|adsense|adsbygoogle|ad-?(?:slot|unit|container|banner)|sponsored|comments?|comment-?list|comments-(?:area|section)|disqus(?:_thread)?|respond)(?:$|\s)", re.I)
 _BAR = re.compile(r"(?:^|\s)(?:share|sharing|share-?(?:bar|buttons?|links?)|social-?(?:share|sharing|links?|buttons?|icons?|bar)|related-(?:posts?|articles?|stories)|outbrain|taboola|nav|navbar|menu|breadcrumbs?|pagination|pager|side-?bar|widget-area|toolbar)(?:$|\s)", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Parts of a running text.
+TEXTUAL = HEADINGS | set("p blockquote pre ul ol dl li dt dd table thead tbody tfoot tr td th figure figcaption caption details summary hgroup address center".split())
 
 
 class Page:
@@ -142,47 +153,9 @@ class Page:
             stack.append(node)
             open_[name] = open_.get(name, 0) + 1
 
-    def dropped(self) -> list[bool]:
-        """Which nodes are boilerplate, or below it."""
-        n, tag, parent = len(self.tag), self.tag, self.parent
-        chars, solid, links, in_link = [0] * n, [0] * n, [0] * n, [False] * n
-        for i in range(1, n):
-            in_link[i] = in_link[parent[i]] or tag[i] == "a"
-        for i, t in self.flow:
-            if t:
-                k = len("".join(t.split()))
-                chars[i] += len(t)
-                solid[i] += k
-                links[i] += k * in_link[i]
-        for i in range(n - 1, 0, -1):
-            chars[parent[i]] += chars[i]
-            solid[parent[i]] += solid[i]
-            links[parent[i]] += links[i]
-        holds = [t in ("article", "main", "body") for t in tag]  # or stands above one
-        for i in range(n - 1, 0, -1):
-            holds[parent[i]] |= holds[i]
-        out, inside = [False] * n, [False] * n
-        for i in range(1, n):
-            p = parent[i]
-            inside[i] = inside[p] or tag[p] in ("article", "main")
-            out[i] = out[p] or tag[i] in DROPPED or (tag[i] == "header" and not inside[i] and not holds[i])
-            if not out[i] and self.attrs[i]:
-                a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(self.attrs[i])}
-                named = f"{a.get('class', '')} {a.get('id', '')}"
-                odd = a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
-                # a word of a longer name, as in nav-open, doesn't make most of the page boilerplate
-                if inside[i]:
-                    named_so = tag[i] not in HEADINGS and bool(_SURE.search(named) or 2 * links[i] >= solid[i] and _BAR.search(named))
-                else:
-                    named_so = bool(_NAME.search(named)) and (2 * chars[i] <= chars[0] or bool(_WHOLE.search(named)))
-                odd = odd or named_so
-                remark = named_so and bool(_REMARKS.search(named))
-                out[i] = odd and tag[i] not in ("body", "main") and (tag[i] != "article" or remark) and (remark or not holds[i] or tag[i] == "article")
-        return out
-
-    def text(self) -> str:
+    def measured(self, out: list[bool]) -> tuple[list[int], list[int], list[float], list[float]]:
+        """Characters, those in links, density, and sum of the children's densities of each node, without what is out."""
         tag, parent, n = self.tag, self.parent, len(self.tag)
-        out = self.dropped()
         chars, tags, links, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
         for i in range(1, n):
             in_link[i] = in_link[parent[i]] or tag[i] == "a"
@@ -199,7 +172,7 @@ class Page:
                 links[p] += links[i]
                 tags[p] += tags[i] + 1
                 link_tags[p] += link_tags[i] + (tag[i] == "a")
-        body = next((i for i in range(n) if tag[i] == "body"), 0)
+        body = self.body()
         ratio = links[body] / max(1, chars[body])
         density, total = [0.0] * n, [0.0] * n
         for i in range(n):
@@ -211,44 +184,91 @@ class Page:
                 density[i] = c / t * (top / base if base > 1e-9 else top)
         for i in range(n - 1, 0, -1):
             total[parent[i]] += density[i]
-        core = max((i for i in range(n) if not out[i]), key=lambda i: (total[i], density[i], -i), default=0)
+        return chars, links, density, total
+
+    def body(self) -> int:
+        return next((i for i, t in enumerate(self.tag) if t == "body"), 0)
+
+    def up(self, i: int) -> list[int]:
+        """A node and all above it."""
+        path = []
+        while i >= 0:
+            path.append(i)
+            i = self.parent[i]
+        return path
+
+    def core(self, out: list[bool], chars: list[int], density: list[float], total: list[float]) -> int:
+        """The block with the largest sum; without any sum the smallest one with the most characters."""
+        some = [i for i in range(len(out)) if not out[i]]
+        core = max(some, key=lambda i: (total[i], density[i], -i), default=0)
         if not total[core]:
-            core = max((i for i in range(n) if not out[i]), key=lambda i: (chars[i], i), default=0)
-        def up(i: int) -> list[int]:
-            path = []
-            while i >= 0:
-                path.append(i)
-                i = parent[i]
-            return path
-
-        def outermost(path: list[int]) -> int | None:
-            """The outermost article below main, else main or article."""
-            root = None
-            for i in path:
-                if tag[i] == "main" and root is not None and tag[root] == "article":
-                    break
-                if tag[i] in ("article", "main"):
-                    root = i
-            return root
-
-        path = up(core)
-        root = outermost(path)
-        if root is None:  # the core may lie in a part of a page whose article is elsewhere
-            best = max((i for i in range(n) if tag[i] in ("article", "main") and not out[i]), key=lambda i: chars[i], default=None)
-            if best is not None and 3 * chars[best] >= chars[core]:
-                path = up(best)
-                root = outermost(path)
-        keep = [False] * n
-        keep[core if root is None else root] = True
+            core = max(some, key=lambda i: (chars[i], i), default=0)
+        while core and self.tag[core] not in BLOCKS and self.tag[core] != "body":
+            core = self.parent[core]
+        return core
+
+    def dropped(self, holding: set[int] | None = None) -> list[bool]:
+        """Which nodes are boilerplate, or below it; by elements and roles alone, or by names too, given what holds the core."""
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        solid, links, in_link = [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[parent[i]] or tag[i] == "a"
+        for i, t in self.flow:
+            if t:
+                k = len("".join(t.split()))
+                solid[i] += k
+                links[i] += k * in_link[i]
+        for i in range(n - 1, 0, -1):
+            solid[parent[i]] += solid[i]
+            links[parent[i]] += links[i]
+        holds = [t in ("article", "main", "body") for t in tag]  # or stands above one
+        for i in range(n - 1, 0, -1):
+            holds[parent[i]] |= holds[i]
+        out, inside = [False] * n, [False] * n
+        for i in range(1, n):
+            p = parent[i]
+            inside[i] = inside[p] or tag[p] in ("article", "main")
+            out[i] = out[p] or tag[i] in DROPPED or (tag[i] == "header" and not inside[i] and not holds[i])
+            if out[i] or not self.attrs[i] or tag[i] in ("body", "main"):
+                continue
+            a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(self.attrs[i])}
+            named = f"{a.get('class', '')} {a.get('id', '')}"
+            remark = tag[i] not in HEADINGS and bool(_REMARKS.search(named))
+            odd = a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
+            if inside[i]:
+                odd = odd or tag[i] not in HEADINGS and bool(_SURE.search(named) or 2 * links[i] >= solid[i] and _BAR.search(named))
+            elif holding is not None and _NAME.search(named):
+                odd = odd or i not in holding or bool(_WHOLE.search(named))
+            out[i] = remark or odd and not holds[i]
+        return out
+
+    def text(self) -> str:
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        out = self.dropped()
+        chars, _, density, total = self.measured(out)
+        out = self.dropped(set(self.up(self.core(out, chars, density, total))))
+        chars, links, density, total = self.measured(out)
+        core, body = self.core(out, chars, density, total), self.body()
+        path = self.up(core)
         least = min((density[i] for i in path if density[i] and i != 0), default=0.0)
-        above = set(path) if root is None else set(up(root)[1:])
-        on = set(path)
-        in_main = {i for i in above if any(tag[x] == "main" for x in up(i))}
+        keep = [False] * n
+        keep[core] = True
+        below = {parent[i]: i for i in path if i}  # of each node above the core, the part of the path in it
         for i in range(1, n):
-            if parent[i] in above and i not in on and not out[i] and tag[i] in BLOCKS and chars[i] and 2 * links[i] < chars[i]:
-                keep[i] = density[i] >= least or root is not None and tag[i] == "article" or tag[i] in HEADINGS and (root is None or parent[i] in in_main)
+            p = below.get(parent[i])
+            if parent[i] == core:
+                p = None
+                keep[i] = core not in (0, body) or tag[i] not in BLOCKS or tag[i] in ("p", *HEADINGS) or 2 * links[i] < chars[i]
+                if not keep[i]:
+                    out[i] = True  # lists of links beside the text of a page without any frame
+            if p is None or i == p or out[i] or tag[i] not in BLOCKS or not chars[i] or 2 * links[i] >= chars[i]:
+                continue
+            running = tag[i] in TEXTUAL and (parent[i] not in (0, body) or tag[p] in TEXTUAL or tag[i] in HEADINGS)
+            again = tag[i] == tag[p] and self.attrs[i].split() == self.attrs[p].split()
+            keep[i] = density[i] >= least or running or again
         for i in range(1, n):
             keep[i] = keep[i] or keep[parent[i]]
+            out[i] = out[i] or out[parent[i]]
         blocks, part = [], []
 
         def close() -> None:
@@ -267,7 +287,10 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    """A page's main text; empty for null, an empty page and one without text."""
+    """A page's main text; empty for null, an empty page and one without text.
+
+    Any string is a page: tags may be unclosed, crossed or cut off by the end.  Time grows with the page's length.
+    """
     return Page(source).text() if source else ""
 
 

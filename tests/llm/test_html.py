@@ -1,11 +1,13 @@
 """Main text of pages made for the purpose, and of the given ones."""
 
+import math
+import random
 import re
 
 import pyarrow.parquet as pq
 import pytest
 
-from tallystone.llm.html_text import main_text
+from tallystone.llm.html_text import Page, main_text
 
 A = "The first paragraph is long enough to be text, with commas, and it goes on for some time."
 B = "A second one, with <b>bold</b> words and a <a href='/x'>link</a> in it, follows the first &amp; ends."
@@ -105,3 +107,86 @@ def test_given_pages_keep_the_article():
             import html as h
 
             assert re.sub(r"\s+", "", text) == re.sub(r"\s+", "", h.unescape(want))
+
+
+def test_densities_by_definition():
+    """On random trees, against the formula worked out anew below each node."""
+    rng = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["some words, ", "x", "  and  more words of it "])
+        tag = rng.choice(["div", "section", "b", "a"] if depth > 1 else ["p", "b"])
+        return (tag, [tree(depth - 1) for _ in range(rng.randrange(1, 5))])
+
+    def shown(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(shown, t[1]))}</{t[0]}>"
+
+    def no_nested_links(t, inside=False):
+        if isinstance(t, str):
+            return t
+        tag = "i" if t[0] == "a" and inside else t[0]
+        return (tag, [no_nested_links(x, inside or tag == "a") for x in t[1]])
+
+    def counts(t, in_link=False):  # characters, tags, those in links
+        if isinstance(t, str):
+            k = len("".join(t.split()))
+            return k, 0, k * in_link, 0
+        parts = [counts(x, in_link or t[0] == "a") for x in t[1]]
+        below = [x for x in t[1] if not isinstance(x, str)]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts) + len(below), sum(p[2] for p in parts), sum(p[3] for p in parts) + sum(x[0] == "a" for x in below)
+
+    def density(t, ratio, in_link):
+        c, tags, lc, lt = counts(t, in_link)
+        if not c:
+            return 0.0
+        tags, lt = max(1, tags), max(1, lt)
+        base = math.log(math.log(c / max(1, c - lc) * lc + ratio * c + math.e))
+        top = math.log(max(1 + 1e-9, c / max(1, lc) * tags / lt))
+        return c / tags * (top / base if base > 1e-9 else top)
+
+    for _ in range(200):
+        body = no_nested_links(("body", [tree(4) for _ in range(3)]))
+        page = Page(shown(body))
+        _, _, got, total = page.measured([False] * len(page.tag))
+        c = counts(body)
+        ratio = c[2] / max(1, c[0])
+        nodes = []
+
+        def walk(t, in_link=False):
+            if not isinstance(t, str):
+                inside = in_link or t[0] == "a"
+                nodes.append((t[0], density(t, ratio, inside), sum(density(x, ratio, inside or x[0] == "a") for x in t[1] if not isinstance(x, str))))
+                for x in t[1]:
+                    walk(x, inside)
+
+        walk(body)
+        assert page.tag[1:] == [x[0] for x in nodes]
+        assert got[1:] == pytest.approx([x[1] for x in nodes]) and total[1:] == pytest.approx([x[2] for x in nodes])
+
+
+def test_density_alone_finds_the_given_articles():
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        assert main_text(html) == main_text(re.sub(r"(</?)(?:article|main)\b", r"\1div", html or ""))
+
+
+MANY = "".join(f"<p>{A} I think so too.</p>" for _ in range(40))
+
+
+@pytest.mark.parametrize("name", ["post-comments", "comment-list", "reader-replies", "comments", "disqus_thread", "comments-area", "user-remarks"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_remarks_go_however_long_they_are(name, tag):
+    assert main_text(f"<body><{tag}>{ARTICLE}</{tag}><div class='{name}'>{MANY}</div></body>") == PLAIN
+    assert main_text(f"<body><{tag}>{ARTICLE}<section id='{name}'>{MANY}</section></{tag}></body>") == PLAIN
+
+
+def test_names_inside_an_article_drop_nothing():
+    page = "<article><h1>T</h1><p>one</p><p class='related'>Related work</p><section class='search'><p>of searches</p></section><div class='social'><p>and society</p></div><section id='comment-on-results'><p>A comment</p></section><p>End.</p></article>"
+    assert main_text(page) == "T\none\nRelated work\nof searches\nand society\nA comment\nEnd."
+
+
+def test_short_paragraphs_beside_the_core_stay():
+    inner = f"<h1>Title</h1><p>So.</p><p><b>{A} {A}<br>{A}</b></p><p>Short.</p><ul><li>One</li><li>Two</li></ul><p>End.</p>"
+    want = f"Title\nSo.\n{A} {A} {A}\nShort.\nOne\nTwo\nEnd."
+    for tag in ("div", "article", "section"):
+        assert main_text(f"<body><nav>{NAV}</nav><{tag}>{inner}</{tag}></body>") == want

@@ -7,8 +7,10 @@ seen and distinct / (total + distinct) to the escape, and what it has seen is ex
 below; at the bottom all bytes left are alike.  A text's code length is the sum over its
 bytes, and the shortest code wins.
 
-As the statistics are frozen, every (context, byte) has one code length in each language,
-so they are tabled once and a text is scored by two look-ups a byte.
+What has been seen after a context has been seen after all shorter ones, so what is excluded
+at a level depends only on the context one byte longer: its counts and a few numbers for
+each context give every code length exactly, in space that grows with what was learned.  As
+the statistics are frozen, a worker keeps the code lengths of grams that it has met.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ ORDER = 3
 #: About so many training texts a language, drawn by a hash of doc_id; the only bound, and only on learning.
 TRAIN_DOCS = 500
 START = 0xFF  # no byte of UTF-8: stands before a text
+#: Bytes of code lengths that a worker keeps, and most languages whose sizes are broadcast.
+KEPT_BYTES, FEW_LANGUAGES = 32 << 20, 10_000
 
 
 def grams(text: str) -> np.ndarray:
@@ -38,60 +42,79 @@ def grams(text: str) -> np.ndarray:
 
 
 class Model:
-    """Tables of exact code lengths from (language, gram, count) triples."""
+    """Exact code lengths from (language, gram, count) triples.
+
+    Sparse: an entry for each byte seen after a context in a language, and four numbers for
+    each context.  Keys have the language and the context's length above the gram's bytes.
+    """
 
     def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray):
         self.languages = languages
-        gram = gram.astype(np.uint32)
-        known = np.unique(np.concatenate([(gram >> np.uint32(8 * i)) & np.uint32(255) for i in range(ORDER + 1)] + [np.array([START], np.uint32)]))
-        #: byte -> symbol; the last symbol stands for all bytes never seen
-        self.symbol = np.full(256, len(known), np.int64)
-        self.symbol[known] = np.arange(len(known))
-        self.base = base = len(known) + 1
-        s = [self.symbol[(gram >> np.uint32(8 * i)) & np.uint32(255)] for i in range(ORDER + 1)]  # s[0]: the byte itself
-        code = np.zeros(len(gram), np.int64)
-        ids, parents, rows = {(): 0}, [0], [np.zeros(len(gram), np.int64)]
-        offset, self.context = 1, np.zeros(base**ORDER, np.int32)
-        for k in range(1, ORDER + 1):  # contexts of each length, as ids; the parent is one byte shorter
-            code = code + s[k] * base ** (k - 1)
-            own, where = np.unique(code, return_inverse=True)
-            first = np.full(len(own), -1, np.int64)
-            first[where] = rows[-1]
-            parents += first.tolist()
-            rows.append(where + offset)
-            view = self.context.reshape(-1, base**k)
-            view[:, own] = np.arange(len(own)) + offset
-            offset += len(own)
-        del ids
-        n, width = offset, base
-        self.table = np.empty((n * width, len(languages)), np.float32)
-        parents = np.array(parents)
-        level = np.zeros(n, np.int64)
-        for k in range(1, ORDER + 1):
-            level[np.unique(rows[k])] = k
-        for l in range(len(languages)):
-            mine = lang == l
-            counts = np.zeros((n, width), np.float64)
-            for k in range(ORDER + 1):
-                np.add.at(counts, (rows[k][mine], s[0][mine]), count[mine])
-            for at in range(0, n, 4096):
-                here = np.arange(at, min(n, at + 4096))
-                bits, seen, cost = np.zeros((len(here), width)), np.zeros((len(here), width), bool), np.zeros(len(here))
-                node, live = here.copy(), np.ones(len(here), bool)
-                for _ in range(ORDER + 1):
-                    c = np.where(seen, 0.0, counts[node]) * live[:, None]
-                    total, distinct = c.sum(1), (c > 0).sum(1)
-                    some = distinct > 0
-                    whole = np.where(some, total + distinct, 1.0)
-                    new = c > 0
-                    bits = np.where(new, cost[:, None] - np.log2(np.where(new, c / whole[:, None], 1.0)), bits)
-                    cost = np.where(some, cost - np.log2(np.where(some, distinct / whole, 1.0)), cost)
-                    seen |= new
-                    live &= level[node] > 0
-                    node = np.where(level[node] > 0, parents[node], node)
-                left = np.maximum(1, 256 - seen.sum(1))
-                bits = np.where(seen, bits, (cost + np.log2(left))[:, None])
-                self.table[at * width : (at + len(here)) * width, l] = bits.ravel()
+        keys, counts = [], []
+        for k in range(ORDER + 1):
+            key, where = np.unique((lang.astype(np.uint64) * np.uint64(ORDER + 1) + np.uint64(k)) << np.uint64(32) | gram.astype(np.uint64) & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            keys.append(key)
+            counts.append(np.bincount(where, count, len(key)))
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key)
+        self.seen, n = key[order], n[order]
+        self.bits_of_seen = np.log2(n).astype(np.float64)
+        # a context's key is that of its bytes' entries without the byte; ORDER + 1 of them for each language
+        head = (self.seen >> np.uint64(32) << np.uint64(24)) | (self.seen & np.uint64(0xFFFFFFFF)) >> np.uint64(8)
+        self.contexts, where = np.unique(head, return_inverse=True)
+        total = np.bincount(where, n, len(self.contexts))
+        distinct = np.bincount(where, minlength=len(self.contexts)).astype(np.float64)
+        # what the context one byte shorter has seen, and how much of that this one has seen too
+        length = (self.seen >> np.uint64(32)) % np.uint64(ORDER + 1)
+        longer = np.flatnonzero(length > 0)
+        shorter = self._shorter(self.seen[longer])
+        excluded = np.bincount(where[longer], n[np.searchsorted(self.seen, shorter)], len(self.contexts))
+        up = np.zeros(len(self.contexts), np.int64)
+        up[where[longer]] = where[np.searchsorted(self.seen, shorter)]
+        log = lambda x: np.log2(np.maximum(x, 1e-300))
+        self.norm, self.escape = np.log2(total + distinct), np.log2(total + distinct) - np.log2(distinct)
+        rest, kinds = total[up] - excluded, distinct[up] - distinct
+        self.norm_below = log(rest + kinds)
+        self.escape_below = np.where(kinds > 0, self.norm_below - log(kinds), 0.0)  # nothing is left there: no escape is coded
+        self.bottom = np.zeros(len(languages))
+        for i in range(len(languages)):
+            at = np.searchsorted(self.contexts, np.uint64(i * (ORDER + 1) << 24))
+            known = at < len(self.contexts) and self.contexts[at] == i * (ORDER + 1) << 24
+            self.bottom[i] = np.log2(max(1, 256 - (distinct[at] if known else 0)))
+        #: Grams met so far, by a hash of theirs, and their code lengths; a place holds the last gram put there.
+        size = 1 << min(18, max(12, (KEPT_BYTES // (4 * max(1, len(languages)))).bit_length() - 1))
+        self.met, self.costs = np.full(size, -1, np.int64), np.zeros((size, len(languages)), np.float32)
+        self.shift = np.uint32(32 - size.bit_length() + 1)
+
+    @staticmethod
+    def _shorter(key: np.ndarray) -> np.ndarray:
+        """The entry of the same byte after a context one byte shorter."""
+        k = (key >> np.uint64(32)) % np.uint64(ORDER + 1)
+        return ((key >> np.uint64(32)) - np.uint64(1) << np.uint64(32)) | key & ((np.uint64(1) << np.uint64(8) * k) - np.uint64(1))
+
+    def lengths(self, gram: np.ndarray) -> np.ndarray:
+        """Code lengths of grams: a row for each, a column for each language."""
+        gram, out = gram.astype(np.uint64), np.empty((len(gram), len(self.languages)))
+        for l in range(len(self.languages)):
+            cost, live, child = np.zeros(len(gram)), np.arange(len(gram)), np.full(len(gram), -1, np.int64)
+            for k in range(ORDER, -1, -1):
+                if not len(live):
+                    break
+                base, g = np.uint64(l * (ORDER + 1) + k), gram[live] & np.uint64((1 << 8 * (k + 1)) - 1)
+                key = base << np.uint64(32) | g
+                at = np.minimum(np.searchsorted(self.seen, key), len(self.seen) - 1)
+                found = self.seen[at] == key
+                head = base << np.uint64(24) | g >> np.uint64(8)
+                c = np.minimum(np.searchsorted(self.contexts, head), len(self.contexts) - 1)
+                known, below = self.contexts[c] == head, child[live]
+                norm = np.where(below >= 0, self.norm_below[below], self.norm[c])
+                escape = np.where(below >= 0, self.escape_below[below], self.escape[c])
+                cost[live] += np.where(found, norm - self.bits_of_seen[at], np.where(known, escape, 0.0))
+                child[live] = np.where(known, c, below)
+                live = live[~found]
+            cost[live] += self.bottom[l]
+            out[:, l] = cost
+        return out
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code lengths: a row for each text, a column for each language."""
@@ -119,12 +142,22 @@ class Model:
 
     def _costs(self, data: np.ndarray) -> np.ndarray:
         """Code lengths of data[ORDER:], each byte after those before it."""
-        s = self.symbol[data]
-        n = len(s) - ORDER
-        code = np.zeros(n, np.int64)
-        for i in range(ORDER):
-            code = code * self.base + s[i : i + n]
-        return self.table[self.context[code] * np.int64(self.base) + s[ORDER:]]
+        n = len(data) - ORDER
+        code = np.zeros(n, np.uint32)
+        for i in range(ORDER + 1):
+            code = (code << np.uint32(8)) | data[i : n + i]
+        at = (code * np.uint32(0x9E3779B1)) >> self.shift
+        miss = np.flatnonzero(self.met[at] != code)
+        if not len(miss):
+            return self.costs[at]
+        new = np.unique(code[miss])
+        found, place = self.lengths(new).astype(np.float32), (new * np.uint32(0x9E3779B1)) >> self.shift
+        out = self.costs[at]
+        out[miss] = found[np.searchsorted(new, code[miss])]
+        _, last = np.unique(place[::-1], return_index=True)  # one gram a place
+        last = len(new) - 1 - last
+        self.met[place[last]], self.costs[place[last]] = new[last], found[last]
+        return out
 
 
 def learn(train: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
@@ -134,7 +167,8 @@ def learn(train: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("rows") < F.lit(train_docs * 1_000_000)
-    drawn = train.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")  # a row a language
+    sizes = F.broadcast(sizes) if sizes.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES else sizes  # a row a language
+    drawn = train.join(sizes, "lang").where(share).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(rows):

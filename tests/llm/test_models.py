@@ -66,6 +66,35 @@ def test_long_and_short_texts_score_alike():
     assert np.allclose(one, 2 * half, rtol=1e-4)
 
 
+def test_a_hundred_languages_fit():
+    """Sparse: what is kept grows with the grams learned, not with contexts by bytes by languages."""
+    rng = np.random.default_rng(3)
+    langs, lang, gram = [f"l{i:03}" for i in range(100)], [], []
+    for i in range(100):
+        first = 0x400 + 64 * i  # another script each
+        text = "".join(map(chr, first + rng.integers(0, 60, 40_000)))
+        g = np.unique(language.grams(text))
+        lang.append(np.full(len(g), i))
+        gram.append(g)
+    m = language.Model(langs, np.concatenate(lang), np.concatenate(gram).astype(np.int64), np.ones(sum(map(len, gram)), np.int64))
+    m.bits(["".join(map(chr, 0x400 + rng.integers(0, 6400, 2000)))])
+    assert sum(x.nbytes for x in vars(m).values() if isinstance(x, np.ndarray)) < 200 << 20
+    texts = ["".join(map(chr, 0x400 + 64 * i + rng.integers(0, 60, 200))) for i in (0, 41, 99)]
+    assert m.bits(texts).argmin(1).tolist() == [0, 41, 99]
+
+
+def test_kept_code_lengths_change_nothing(monkeypatch):
+    langs = ["a", "b"]
+    g = [np.unique(language.grams(t), return_counts=True) for t in ("the cat sat on the mat", "der Hund über die Hände")]
+    made = lambda: language.Model(langs, np.repeat([0, 1], [len(x[0]) for x in g]), np.concatenate([x[0] for x in g]).astype(np.int64), np.concatenate([x[1] for x in g]).astype(np.int64))
+    many = made()
+    monkeypatch.setattr(language, "KEPT_BYTES", 0)
+    few = made()
+    few.met, few.costs, few.shift = few.met[:2], few.costs[:2], np.uint32(31)
+    texts = ["der Hund sat " * 9, "the über", "xyz 日本 the cat", ""]
+    assert np.array_equal(many.bits(texts), few.bits(texts)) and np.array_equal(many.bits(texts[::-1])[::-1], few.bits(texts))
+
+
 def test_language_of_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op5_language(spark, SF)

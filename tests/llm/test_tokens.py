@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallystone.llm import packing, queries, token_store
-from tallystone.llm.automaton import Automaton, Encoder
+from tallystone.llm.automaton import Automaton, Encoder, compiled
 from tallystone.llm.common import tokenizer_path
 from test_chunks import ODD, library
 
@@ -96,6 +96,39 @@ def test_automaton_of_random_merges(data):
     assert a.spell_many([word, word])[1] == a.spell(word)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_compiled_table_equals_the_gadgets(data):
+    """Every arc of the table, against states as sets of arcs to which the gadgets are applied one after the other."""
+    vocab = {c: i for i, c in enumerate(["a", "b", "a$", "b$"])}
+    merges = []
+    for _ in range(data.draw(st.integers(1, 14))):
+        u, v = data.draw(st.sampled_from(sorted(x for x in vocab if "$" not in x))), data.draw(st.sampled_from(sorted(vocab)))
+        if u + v not in vocab and len(u + v) < 12:
+            merges.append([u, v])
+            vocab[u + v] = len(vocab)
+    arcs = {u: {"a", "b", "a$", "b$"} for u in "ab"}
+    for u, v in merges:
+        if v not in arcs.get(u, ()):
+            continue
+        copy = set(arcs[v]) if v in arcs else None
+        if copy is not None:
+            arcs[u + v] = copy
+        arcs[u].discard(v)
+        for out in arcs.values():
+            if u in out:
+                out.add(u + v)
+    model = {"vocab": vocab, "merges": merges, "end_of_word_suffix": "$"}
+    order, table = compiled(model)
+    name = {i: s for s, i in vocab.items()}
+    made = [name[i] for i in order.tolist()]
+    states = [s for s in made if not s.endswith("$")]
+    a = Automaton({"model": model})
+    for row, v in zip(table, made, strict=True):
+        for k, u in enumerate(states):
+            assert bool(row[k >> 3] >> (k & 7) & 1) == (v in arcs[u]) == a.open(vocab[u], vocab[v]), (u, v)
+
+
 def test_bpe_query(spark):
     lib, got = library("word_bpe_49k.json"), queries.op9_bpe(spark, SF).collect()
     assert len(got) == len(texts())

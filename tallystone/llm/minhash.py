@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comp = components(links, "a", "b")
     drop(shared, member, sets, state, first, reps)
 
+    # written, so that the join below stands alone in its stage and a class of very many rows can be split
     of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    of = written(of, "classes", files=small)
     out = sig.select("doc_id", "n_shingles", "set_hash").join(of, "set_hash", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(False)).alias("kept"))

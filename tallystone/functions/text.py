@@ -30,7 +30,7 @@ def line_count(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), "")
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
 
 
 def marker_without_reference(line: Column, marker: str = MARKER, reference: str = REFERENCE) -> Column:

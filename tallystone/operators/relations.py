@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -170,10 +171,18 @@ def not_excluded(path: Column, globs: Sequence[str], built_in: Sequence[str] = (
     """Built-in directories anywhere, declared globs from the repository's root."""
     hit = F.exists(F.split(path, "/"), lambda s: s.isin(*built_in))
     for g in globs:
-        hit = hit | path.rlike(glob_regex("/" + g.lstrip("/")).replace("^/", "^"))
+        hit = hit | path.rlike("^" + glob_regex("/" + g.lstrip("/")).removeprefix("^/"))
     return ~hit
 
 
+def section_value(path: Column, sections: Sequence[tuple[str, str]]) -> Column:
+    """The value of the last section whose glob a path matches, as later ones win; null where none does.
+
+    Sections are a document's few; each path is looked at where it is read, so nothing is joined or shuffled.
+    """
+    return F.coalesce(*[F.when(path.rlike(glob_regex(g)), F.lit(v)) for g, v in reversed(sections)], F.lit(None).cast("string"))
+
+
 # groups
 
 
@@ -274,25 +283,28 @@ def assignments_of(df: DataFrame, symbols: str, most: int = 8) -> DataFrame:
 
 
 def checkpoints(spark) -> None:
-    """Use the cluster's checkpoint folder; one of our own only where none is set, as in tests."""
+    """Use the cluster's checkpoint folder; on a local master, as in tests, one of our own where none is set, else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallystone-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallystone-checkpoints-"))
 
 
 def climbed(edges: DataFrame, child: str, parent: str, most: int) -> DataFrame:
-    """(node, ancestor, depth) of every step up from every node, once for each path.
+    """(node, ancestor, depth) of every ancestor of every node, once for each length of a way there, however many ways there are.
 
     A round joins what the last one reached with the edges, and is checkpointed in the
     shared folder; only the frontier moves.  A circle, or more than `most` levels, is an error.
     """
     checkpoints(edges.sparkSession)
     e = edges.select(F.col(child).alias("__child"), F.col(parent).alias("__parent"))
-    frontier = e.select(F.col("__child").alias("node"), F.col("__parent").alias("ancestor"), F.lit(1).alias("depth")).checkpoint()
+    frontier = e.select(F.col("__child").alias("node"), F.col("__parent").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
     out = frontier
     for _ in range(most):
         up = frontier.join(e, frontier["ancestor"] == e["__child"])
-        frontier = up.select("node", F.col("__parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")).checkpoint()
+        frontier = up.select("node", F.col("__parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct().checkpoint()
         if frontier.isEmpty():
             return out
         out = out.unionByName(frontier)
@@ -313,7 +325,8 @@ def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFr
 def reachable(sources: DataFrame, edges: DataFrame, sanitizers: DataFrame, rounds: int = 50) -> DataFrame:
     """Nodes that taint reaches along edges (src, dst) from sources (node), never through a sanitizer.
 
-    Breadth first on new nodes only; each round's frontier is checkpointed in the shared folder.
+    Breadth first on new nodes only; each round's frontier is checkpointed in the shared folder,
+    once: what was reached before is the union of the frontiers, and is never written again.
     """
     checkpoints(sources.sparkSession)
     clean = sanitizers.select("node")
@@ -322,7 +335,7 @@ def reachable(sources: DataFrame, edges: DataFrame, sanitizers: DataFrame, round
         frontier = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(clean, "node", "left_anti").join(seen, "node", "left_anti").checkpoint()
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = seen.unionByName(frontier)
     raise RuntimeError("more rounds are needed")
 
 

@@ -243,3 +243,22 @@ def test_fixed_point_of_large_keys(spark, tmp_path):
     got = {r["p_partkey"]: (r["state"], r["passes"], r["converged"]) for r in QUERIES["fixed_point"](spark, str(tmp_path)).collect()}
     halvings = {k: (k & -k).bit_length() - 1 if k else 0 for k in keys}
     assert got == {k: (k >> n, n + 1, True) for k, n in halvings.items()}
+
+
+def test_a_lattice_has_many_ways_and_few_ancestors(spark):
+    """40 diamonds: 2^40 paths."""
+    edges = [e for i in range(40) for e in ((f"n{i}", f"l{i}"), (f"n{i}", f"r{i}"), (f"l{i}", f"n{i + 1}"), (f"r{i}", f"n{i + 1}"))]
+    e = spark.createDataFrame(edges, "k string, p string").coalesce(1)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = dict(map(tuple, rl.depth_to_root(e, "k", "p", most=100).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert got["n0"] == 80 and got["n39"] == 2 and len(got) == 120
+
+
+def test_section_value(spark):
+    d = spark.createDataFrame([("a.cs",), ("b.txt",), ("x/a.cs",)], "path string")
+    got = d.select("path", rl.section_value(F.col("path"), [("*", "all"), ("*.cs", "code"), ("a.*", "a")]).alias("v")).collect()
+    assert [r["v"] for r in got] == ["a", "all", "a"]

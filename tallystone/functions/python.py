@@ -21,24 +21,20 @@ _NARROW = re.compile("[\x20-\x7e\xa1-\xac\xae-\u02ff]*")
 
 
 def width(text: str, tab: int = 4) -> int:
-    """Columns of the last line of text: tabs go to the next stop, marks and joiners take none, wide characters two."""
+    """Columns of the last line of text, by grapheme cluster: tabs go to the next stop, marks and joiners alone take none, wide ones and pairs that make a flag two."""
     if _NARROW.fullmatch(text):
         return len(text)
-    at, previous_joins = 0, False
-    for c in text:
-        k = unicodedata.category(c)
-        if c == "\n":
-            at, previous_joins = 0, False
-        elif c == "\t":
-            at, previous_joins = at + tab - at % tab, False
-        elif c == "‍":
-            previous_joins = True
-        elif k in ("Mn", "Me", "Cf", "Cc") or "\U0001f3fb" <= c <= "\U0001f3ff" or "︀" <= c <= "️":
-            continue
-        elif previous_joins:
-            previous_joins = False
-        else:
-            at += 2 if unicodedata.east_asian_width(c) in "WF" else 1
+    import regex
+
+    at = 0
+    for cluster in regex.findall(r"\X", text):
+        if cluster in ("\n", "\r\n"):
+            at = 0
+        elif cluster == "\t":
+            at += tab - at % tab
+        elif any(unicodedata.category(c) not in ("Mn", "Me", "Cf", "Cc") for c in cluster):
+            flag = len(cluster) == 2 and all("\U0001f1e6" <= c <= "\U0001f1ff" for c in cluster)
+            at += 2 if flag or any(unicodedata.east_asian_width(c) in "WF" for c in cluster) else 1
     return at
 
 

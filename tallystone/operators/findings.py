@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -31,12 +32,16 @@ def as_findings(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A plug-in: from a table of files (path, text, ...) to findings.  `where` is a predicate on a file or line."""
+    """A plug-in: from a table of files (path, text, ...) to findings.
+
+    `where` is a predicate on a file or line, or makes one from the rule's options; `options`
+    has their defaults, which a run may override by name.
+    """
 
     rule_id: str
     severity: int
     message: str
-    where: Column
+    where: Column | Callable[[dict[str, int]], Column]
     per_line: bool = False
     needs_project: bool = False
     scope: str = "syntax"
@@ -47,20 +52,23 @@ class Rule:
         """A file's findings depend on that file alone."""
         return self.scope != "compilation"
 
-    def run(self, files: DataFrame) -> DataFrame:
+    def run(self, files: DataFrame, options: dict[str, int] | None = None) -> DataFrame:
+        if unknown := set(options or {}) - set(self.options):
+            raise ValueError(f"{self.rule_id} has no option {', '.join(sorted(unknown))}")
+        where = self.where if isinstance(self.where, Column) else self.where(self.options | (options or {}))
         if self.per_line:
             from ..functions.text import lines
 
-            d = files.select("path", F.posexplode(lines(F.col("text"))).alias("at", "line_text")).where(self.where)
+            d = files.select("path", F.posexplode(lines(F.col("text"))).alias("at", "line_text")).where(where)
             got = d.select("path", (F.col("at") + 1).alias("line"), F.col("line_text").alias("snippet"))
         else:
-            got = files.where(self.where).select("path", F.lit(1).alias("line"))
+            got = files.where(where).select("path", F.lit(1).alias("line"))
         return as_findings(got.withColumns({"rule_id": F.lit(self.rule_id), "severity": F.lit(self.severity), "message": F.lit(self.message)}))
 
 
-def run_rules(files: DataFrame, rules: list[Rule], with_project: bool = True) -> DataFrame:
-    """One union of all rules' findings; those that need a project are left out of the plan without one."""
-    parts = [r.run(files) for r in rules if with_project or not r.needs_project]
+def run_rules(files: DataFrame, rules: list[Rule], with_project: bool = True, options: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """One union of all rules' findings; those that need a project are left out of the plan without one.  options: by rule_id."""
+    parts = [r.run(files, (options or {}).get(r.rule_id)) for r in rules if with_project or not r.needs_project]
     return reduce(DataFrame.unionByName, parts)
 
 

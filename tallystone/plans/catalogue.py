@@ -21,6 +21,8 @@ from ..operators import relations as rl
 from ..operators import settings as st
 from ..operators import units as un
 from ..session import spread
+from ..sources.files import decoded
+from ..sources.sinks import baseline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +134,15 @@ def baseline_fixed(s, d):
     return fd.baseline_fixed(f, f.where("fingerprint >= '4'"), f.where("rule_id = 'TS7083'")).select("rule_id", "path", "snippet")
 
 
+@query(f"""WITH f AS (SELECT DISTINCT rule_id, {PRINT} AS fingerprint FROM {FOUND}) SELECT 'update' AS verb, * FROM f UNION ALL SELECT 'prune', * FROM f WHERE fingerprint >= '4' AND fingerprint < '8'
+  UNION ALL SELECT 'create', * FROM f WHERE fingerprint >= '4' UNION ALL SELECT 'show', * FROM f WHERE fingerprint < '8'""")
+def baseline_verbs(s, d):
+    f = _printed(s, d).select("rule_id", "fingerprint").distinct()
+    none = s.createDataFrame([], "path string")
+    made = [baseline(v, f.where("fingerprint >= '4'"), f.where("fingerprint < '8'"), none).withColumn("verb", F.lit(v)) for v in ("create", "update", "prune", "show")]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
 EVENT_KEY = "event_type, user_id, CAST(ts AS DATE) AS day, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS detail"
 
 
@@ -328,9 +339,39 @@ def named_and_more(s, d):
     return g.select("source", F.size("x").cast("bigint").alias("n"), F.array_join("y.shown", ",").alias("shown"), F.col("y.more").cast("bigint").alias("more"))
 
 
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^blue [^/]*$') THEN 'c' WHEN regexp_matches(p_name, '^(red|small) [^/]*$') THEN 'b' WHEN regexp_matches(p_name, '^[^/]*e[^/]*$') THEN 'a' END AS value FROM part")
+def effective_section_value(s, d):
+    return table(s, d, "part").select("p_partkey", rl.section_value(F.col("p_name"), [("*e*", "a"), ("{red,small} *", "b"), ("blue *", "c")]).alias("value"))
+
+
+@query("""SELECT doc_id, NOT (doc_id % 5 = 0 OR (doc_id % 5 <> 1 AND source = 'src1')) AS kept FROM documents""")
+def excluded_paths(s, d):
+    p = files(s, d).select("doc_id", F.concat("source", F.expr("CASE doc_id % 5 WHEN 0 THEN '/obj/' WHEN 1 THEN '/deep/er/' ELSE '/' END"), "path", F.lit(".cs")).alias("at"))
+    return p.select("doc_id", rl.not_excluded(F.col("at"), ["src1/*.cs"]).alias("kept"))
+
+
 # snapshots
 
 
+@query("""SELECT 'parts' AS surface, CAST(coalesce(b.p_partkey, a.p_partkey) AS VARCHAR) AS key, CASE WHEN a.p_partkey IS NULL THEN 'removed' WHEN b.p_partkey IS NULL THEN 'added' ELSE 'changed' END AS state, CASE WHEN b.p_partkey IS NULL THEN 2 ELSE 3 END AS bump
+  FROM (SELECT p_partkey, p_type FROM part WHERE p_size <= 40) b FULL JOIN (SELECT p_partkey, CASE WHEN p_size = 20 THEN 'X' ELSE p_type END AS p_type FROM part WHERE p_size > 10) a ON a.p_partkey = b.p_partkey WHERE a.p_type IS DISTINCT FROM b.p_type
+  UNION ALL SELECT 'nations', CAST(n_nationkey AS VARCHAR), 'added', 2 FROM nation WHERE n_regionkey = 3""")
+def release_changes(s, d):
+    from .check import release
+
+    p, n = table(s, d, "part"), table(s, d, "nation")
+    parts = (p.where("p_size <= 40"), p.where("p_size > 10").withColumn("p_type", F.when(F.col("p_size") == 20, "X").otherwise(F.col("p_type"))), "p_partkey", ["p_type"])
+    return release({"parts": parts, "nations": (n.where("n_regionkey <> 3"), n, "n_nationkey", ["n_name"])}, "1.2.3")[0]
+
+
+@query("""SELECT CASE WHEN max(CASE WHEN p_size <= 10 OR p_size = 20 THEN 3 WHEN p_size > 40 THEN 2 ELSE 1 END) = 3 THEN '2.0.0' WHEN max(CASE WHEN p_size > 40 THEN 2 ELSE 1 END) = 2 THEN '1.3.0' ELSE '1.2.4' END AS next FROM part""")
+def release_version(s, d):
+    from .check import release
+
+    p = table(s, d, "part")
+    return release({"parts": (p.where("p_size <= 40"), p.where("p_size > 10").withColumn("p_type", F.when(F.col("p_size") == 20, "X").otherwise(F.col("p_type"))), "p_partkey", ["p_type"])}, "1.2.3")[1].select("next")
+
+
 @query("""SELECT coalesce(b.p_partkey, a.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'removed' WHEN b.p_partkey IS NULL THEN 'added' ELSE 'changed' END AS state, CASE WHEN b.p_partkey IS NULL THEN 2 ELSE 3 END AS bump
   FROM (SELECT p_partkey, p_type FROM part WHERE p_size <= 40) b FULL JOIN (SELECT p_partkey, CASE WHEN p_size = 20 THEN 'X' ELSE p_type END AS p_type FROM part WHERE p_size > 10) a ON a.p_partkey = b.p_partkey WHERE a.p_type IS DISTINCT FROM b.p_type""")
 def snapshot_diff(s, d):
@@ -499,6 +540,27 @@ def test_paths(s, d):
     return p.select("doc_id", tx.is_test(F.col("path"), F.lit("unit")).alias("is_test"))
 
 
+@query("""SELECT p_partkey, CASE WHEN contains(p, ' ') THEN '"' || p || '"' ELSE p END AS shown FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '/other/' END || p_brand || '/' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(p_name, ' ', '-') END AS p FROM part)""")
+def display_paths(s, d):
+    at = F.concat(F.expr("IF(p_partkey % 2 = 0, '/src/', '/other/')"), F.col("p_brand"), F.lit("\\"), F.expr("IF(p_partkey % 3 = 0, p_name, replace(p_name, ' ', '-'))"))
+    return table(s, d, "part").select("p_partkey", tx.display_path(at, "/src").alias("shown"))
+
+
+@query("SELECT p_partkey, p_partkey >= 1000 AND p_partkey <= 9999 AND p_size % 3 <> 0 AS well_formed FROM part")
+def rule_id_shapes(s, d):
+    x = F.concat(F.expr("IF(p_size % 3 = 0, 'ts', 'TS')"), F.col("p_partkey").cast("string"))
+    return table(s, d, "part").select("p_partkey", tx.well_formed_rule_id(x, "TS").alias("well_formed"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN coalesce(text, '') END AS text, 'utf-8' AS encoding,
+  CAST(CASE WHEN doc_id % 7 = 0 THEN octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END ELSE -1 END AS BIGINT) AS bad_offset,
+  CAST(CASE WHEN doc_id % 7 = 0 THEN length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 ELSE -1 END AS BIGINT) AS bad_line FROM documents""")
+def strict_decoding(s, d):
+    # every fifth document gets a byte order mark, every seventh ends in a byte that is no UTF-8
+    data = F.concat(F.expr("IF(doc_id % 5 = 0, X'EFBBBF', X'')"), F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.expr("IF(doc_id % 7 = 0, X'FF', X'')"))
+    return files(s, d).select("doc_id", decoded(data).alias("d")).select("doc_id", "d.text", "d.encoding", F.col("d.bad_offset").cast("bigint").alias("bad_offset"), F.col("d.bad_line").cast("bigint").alias("bad_line"))
+
+
 @query("SELECT n_name, n_nationkey % 4 IN (0, 1, 2) AND NOT n_nationkey % 4 = 2 AS allowed FROM nation")
 def include_exclude(s, d):
     return table(s, d, "nation").select("n_name", sc.allowed((F.col("n_nationkey") % 4).cast("string"), ["0", "1", "2"], ["2"]).alias("allowed"))

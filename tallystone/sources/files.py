@@ -7,6 +7,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ def first_that_loads(readers: list[tuple[str, object]], named: str | None = None
             if not got.isEmpty():
                 return got, passed
             passed.append((name, "empty"))
-        except Exception as e:
+        except (OSError, ValueError, PySparkException) as e:  # what reading can meet; an error of the reader's own is none of these
             if named:
                 raise
             passed.append((name, str(e).splitlines()[0]))

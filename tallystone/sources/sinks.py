@@ -60,14 +60,25 @@ def append_history(metrics: DataFrame, path: str) -> None:
 
 
 def trend(history: DataFrame, n: int = 20) -> DataFrame:
-    """The last n runs, newest first."""
+    """The last n rows of a history, newest first; with one metric a run, its last n runs.  last_runs() has whole runs."""
     return history.orderBy(F.desc("ts"), "name").limit(n)
 
 
+def last_runs(history: DataFrame, n: int = 20) -> DataFrame:
+    """All rows of the last n runs, newest first; a run is what was appended at one time, however many metrics it has."""
+    runs = history.select("ts").distinct().orderBy(F.desc("ts")).limit(n)
+    return history.join(F.broadcast(runs), "ts").orderBy(F.desc("ts"), "name")  # n rows
+
+
 def lines(findings: DataFrame, style: str = "plain") -> DataFrame:
-    """One rendered line a finding: plain, github, markdown or agent; for a report's short list."""
+    """One rendered line a finding: plain, terminal, github, markdown, agent, json, or junit's test cases; for a report's short list."""
     words = F.element_at(F.lit(list(SEVERITIES)), F.col("severity") + 1)
+    xml = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    colour = F.when(F.col("severity") >= 4, "\x1b[31m").when(F.col("severity") == 3, "\x1b[33m").otherwise("\x1b[36m")
     shape = {
+        "terminal": F.concat(F.format_string("%s(%d,%d): ", "path", "line", "column"), colour, words, F.lit("\x1b[0m "), F.col("rule_id"), F.lit(": "), F.col("message")),
+        "json": F.to_json(F.struct("rule_id", words.alias("severity"), "path", "line", "column", "message")),
+        "junit": F.format_string('<testcase classname="%s" name="%s"><failure type="%s" message="%s">%s:%d</failure></testcase>', xml(F.col("rule_id")), xml(F.col("path")), words, xml(F.col("message")), xml(F.col("path")), "line"),
         "plain": F.format_string("%s(%d,%d): %s %s: %s", "path", "line", "column", words, "rule_id", "message"),
         "github": F.format_string("::%s file=%s,line=%d,col=%d,title=%s::%s", F.when(F.col("severity") >= 4, "error").when(F.col("severity") == 3, "warning").otherwise("notice"), "path", "line", "column", "rule_id", "message"),
         "markdown": F.format_string("| %s | %s | `%s:%d` | %s |", words, "rule_id", "path", "line", F.replace(F.col("message"), F.lit("|"), F.lit("\\|"))),

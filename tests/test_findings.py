@@ -122,3 +122,11 @@ def test_a_release(spark):
     assert rows(changes, "key", "state") == [("c", "added")] and verdict.first()["next"] == "1.3.0"
     _, same = plan.release({"rules": (part(("a", 1)), part(("a", 1)), "id", ["v"])}, "1.2.3")
     assert same.first()["next"] == "1.2.4"
+
+
+def test_options_of_a_rule(files):
+    long = fd.Rule("R0003", 2, "m", lambda o: F.char_length("text") > o["most"], options={"most": 15})
+    paths = lambda **o: rows(fd.run_rules(files, [long], options=o), "path")
+    assert paths() == [("a.cs",), ("d.cs",)] and paths(R0003={"most": 22}) == [] and paths(R0003={"most": -1}) == [("a.cs",), ("b.cs",), ("d.cs",)]
+    with pytest.raises(ValueError):
+        paths(R0003={"least": 1})

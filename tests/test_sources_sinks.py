@@ -235,3 +235,33 @@ def test_windows_of_a_stream(spark, tmp_path):
     hs.write_stream(hs.windowed_counts(hs.read_stream(spark, str(src), "ts timestamp, event_type string")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "n") == [(2,), (2,), (2,)]  # the late row is left to the batch run
     assert hs.windowed_counts(spark.read.schema("ts timestamp, event_type string").json(str(src))).agg(F.sum("n")).first()[0] == 8
+
+
+def test_last_runs_are_whole(spark):
+    h = spark.createDataFrame([(t, f"m{i}", float(i)) for t in range(5) for i in range(6)], "ts int, name string, value double")
+    got = sk.last_runs(h, 3).collect()
+    assert len(got) == 18 and {r["ts"] for r in got} == {2, 3, 4}
+    assert sk.last_runs(h.where("false"), 3).count() == 0
+
+
+def test_bugs_of_a_reader_are_not_passed_over():
+    def wrong():
+        return None.nothing
+
+    with pytest.raises(AttributeError):
+        fs.first_that_loads([("a", wrong)])
+
+
+@pytest.mark.parametrize("text, width", [("\u1112\u1161\u11ab", 2), ("🇫🇷🇩🇪", 4), ("a\r\nbc", 2), ("👨‍👩‍👧‍👦x", 3), ("\u0301", 0), ("q\u0301\u0302z", 2)])
+def test_width_goes_by_cluster(text, width):
+    assert py.width(text) == width
+
+
+def test_further_renderings(spark):
+    from tallystone.operators import findings as fd
+
+    f = fd.as_findings(spark.createDataFrame([("R1", 4, 'a < "b"', "p.cs", 3, 2)], "rule_id string, severity int, message string, path string, line int, column int"))
+    one = lambda style: sk.lines(f, style).first()[0]
+    assert "\x1b[31m" in one("terminal") and one("terminal").endswith('R1: a < "b"')
+    assert '"message":"a < \\"b\\""' in one("json")
+    assert one("junit").startswith('<testcase classname="R1" name="p.cs"><failure type="') and 'message="a &lt; &quot;b&quot;"' in one("junit")

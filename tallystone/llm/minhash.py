@@ -190,7 +190,7 @@ def compared(many: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     most = lambda size, bytes_: F.ceil(F.greatest(size / BLOCK, bytes_ / BLOCK_BYTES)).cast("int")
     largest = parts.groupBy("hub").agg(F.max(F.struct("size", "bytes", "c")).alias("top"), F.sum("size").alias("all"), F.sum("bytes").alias("heft"))
     largest = largest.select("hub", F.col("top.c").alias("top"), most(F.col("top.size"), F.col("top.bytes")).alias("main"), most(F.col("all") - F.col("top.size"), F.col("heft") - F.col("top.bytes")).alias("rest")).where("rest > 0")
-    m = many.join(largest, "hub")
+    m = many.join(written(largest, "hubs", files=few(many.sparkSession)), "hub")  # written, so that a hub of very many rows can be split
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("c") == F.col("top"), F.col("main")).otherwise(F.col("rest"))).cast("int")
     m = m.withColumn("block", F.when(F.col("c") == F.col("top"), own).otherwise(F.col("main") + own))
     hubs = many.groupBy("doc").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: Rows that a Parquet reader holds as columns at once, for the same reason; 4096 rows of documents are large arrays, and twice the heap.
 READ_ROWS = 256
+#: Bytes of written tables that give one more file of what is made from them.
+FILE_BYTES = 8 << 20
 #: Most ranges of a table that is dealt by ranges of its ids.
 MOST_RANGES = 50_000
 
@@ -90,9 +92,19 @@ def written(df: DataFrame, name: str, *by: str, files: int | None = None) -> Dat
     return out
 
 
-def few(spark: SparkSession) -> int:
-    """Files of a table of ids: as many tasks as run at once, twice."""
-    return 2 * spark.sparkContext.defaultParallelism
+def bytes_of(df: DataFrame) -> int:
+    """Size of a written table on disk."""
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def few(spark: SparkSession, *tables: DataFrame) -> int:
+    """Files of a table of ids: as many tasks as run at once, twice; more where the written tables that it is made from are large.
+
+    One for each FILE_BYTES of those, so that what a task reads doesn't grow with the input.
+    """
+    return ranges_of(spark, sum(map(bytes_of, tables)), FILE_BYTES)
 
 
 def drop(*tables: DataFrame) -> None:
@@ -184,6 +196,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     combine, so a hub's rows can be split among tasks.  Empty input gives an empty table.
     """
     before = None
+    files = few(edges.sparkSession, *([edges] if hasattr(edges, "_written_at") else []))
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
     for _ in range(rounds):
         m = e.groupBy("u").agg(F.min("v").alias("m"))
@@ -191,7 +204,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = written(large, "cc", files=few(edges.sparkSession))
+        e = written(large, "cc", files=files)
         if before is not None:
             drop(before)
         before = e
@@ -205,4 +218,4 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-__all__ = ["ARROW_BYTES", "ARROW_ROWS", "batches", "bounded", "components", "drop", "few", "freed", "kept", "ranges_of", "ready", "scratch", "shared_dir", "split_by", "tokenizer_path", "written"]
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "batches", "bounded", "bytes_of", "components", "drop", "few", "freed", "kept", "ranges_of", "ready", "scratch", "shared_dir", "split_by", "tokenizer_path", "written"]

@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
 
     near = pairs.join(sketches.select(F.col("doc_id").alias("doc"), F.col("sketch").alias("sy")), "doc").join(sketches.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("sx")), "hub")
     spark = pairs.sparkSession
-    near = written(near.select("hub", "doc", "sx", "sy").mapInArrow(freed(likely), "hub long, doc long"), "likely-pairs", files=few(spark))
+    near = written(near.select("hub", "doc", "sx", "sy").mapInArrow(freed(likely), "hub long, doc long"), "likely-pairs", files=few(spark, sketches))
     own = sets.select(F.col("doc_id").alias("doc"), "set")
     # partners are read one by one, so a task holds a hub's set and one other, however long a block is
     blocks = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -190,7 +190,7 @@ def compared(many: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     most = lambda size, bytes_: F.ceil(F.greatest(size / BLOCK, bytes_ / BLOCK_BYTES)).cast("int")
     largest = parts.groupBy("hub").agg(F.max(F.struct("size", "bytes", "c")).alias("top"), F.sum("size").alias("all"), F.sum("bytes").alias("heft"))
     largest = largest.select("hub", F.col("top.c").alias("top"), most(F.col("top.size"), F.col("top.bytes")).alias("main"), most(F.col("all") - F.col("top.size"), F.col("heft") - F.col("top.bytes")).alias("rest")).where("rest > 0")
-    m = many.join(written(largest, "hubs", files=few(many.sparkSession)), "hub")  # written, so that a hub of very many rows can be split
+    m = many.join(written(largest, "hubs", files=few(many.sparkSession, sets)), "hub")  # written, so that a hub of very many rows can be split
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("c") == F.col("top"), F.col("main")).otherwise(F.col("rest"))).cast("int")
     m = m.withColumn("block", F.when(F.col("c") == F.col("top"), own).otherwise(F.col("main") + own))
     hubs = many.groupBy("doc").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most
@@ -240,9 +240,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     ready(spark)
-    small = few(spark)
     docs = docs.select("doc_id", "text")
     sig = written(signatures(docs, k), "signatures")
+    small = few(spark, sig)
     nodes = sig.where("doc_id is not null and n_shingles > 0")
     classes = nodes.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     reps = written(nodes.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sketch", "keys"), "representatives")
@@ -254,9 +254,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = member.select(F.col("doc").alias("doc_id")).distinct()
     sets = split_by(docs, "doc_id", named)[0].join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(shingle_sets(sets, k), "shingle-sets")
+    wide = few(spark, reps, sets)  # of what is made by comparing sketches and sets
 
     star = member.where("doc <> hub").select("hub", "doc").distinct()
-    first = written(verified(star, reps, sets, percent), "links", files=small)
+    first = written(verified(star, reps, sets, percent), "links", files=wide)
     comp = components(first, "a", "b").withColumnRenamed("id", "doc")
     state = member.join(comp, "doc", "left").select("key", "doc", "hub", "n", F.coalesce("component", "doc").alias("c"))
     several = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = pairs.select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).where("l.doc < r.doc and l.c <> r.c").select(F.col("l.doc").alias("hub"), F.col("r.doc").alias("doc"))
     many = state.where(F.col("n") > SMALL).select("hub", "doc", "c").distinct()
     found = verified(pairs.distinct(), reps, sets, percent).unionByName(compared(many, reps, sets, percent))
-    links = written(first.unionByName(found), "links", files=small)
+    links = written(first.unionByName(found), "links", files=wide)
     comp = components(links, "a", "b")
     drop(shared, member, sets, state, first, reps)
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallystone.llm import embeddings, fingerprints, minhash, queries
+from tallystone.llm import common, embeddings, fingerprints, minhash, queries
 from tallystone.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +87,20 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, k, small):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_files_grow_with_what_they_are_made_from(spark, monkeypatch):
+    least = 2 * spark.sparkContext.defaultParallelism
+    t = common.written(spark.range(20_000).repartition(4), "ids")
+    n = common.bytes_of(t)
+    assert n > 10_000 and common.few(spark) == common.few(spark, t) == least
+    monkeypatch.setattr(common, "FILE_BYTES", 100)
+    assert common.few(spark) == least and common.few(spark, t) == -(-n // 100) and common.few(spark, t, t) == -(-2 * n // 100)
+    monkeypatch.setattr(common, "MOST_RANGES", 50)
+    assert common.few(spark, t) == 50
+    rows = groups(9, 40)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_by_all_pairs(rows, 4)
+
+
 def test_minhash_query(spark):
     t = pq.read_table("/root/testdata/sf0.01/documents.parquet")
     want = near_by_all_pairs(list(zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True)), 4)

@@ -69,7 +69,8 @@ def first_that_loads(readers: list[tuple[str, object]], named: str | None = None
 
 
 REPORT = (
-    "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,"
+    "runs array<struct<tool:struct<driver:struct<name:string,version:string,properties:variant>>,"
+    "invocations:array<struct<startTimeUtc:timestamp,endTimeUtc:timestamp,properties:variant>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,"
     "locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int,endLine:int,endColumn:int>>>>,"
     "properties:struct<severity:string,enclosingSymbol:string,ordinal:int,inChangedCode:boolean,bucket:string,fixIsSafe:boolean>,"
     "suppressions:array<struct<kind:string,justification:string>>>>>>"
@@ -97,6 +98,31 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return as_findings(d)
 
 
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each stored report: what its first run says of itself.
+
+    A property that is missing or of another type has its default; a run without a gate has
+    a null gate; seconds are 0 unless the end is after the start.  A report without runs is an error.
+    """
+    r = spark.read.schema(REPORT).json(path, multiLine=True).select(F.get("runs", F.lit(0)).alias("run"))
+    r = r.select(F.when(F.col("run").isNull(), F.raise_error(F.lit("a report has no runs"))).otherwise(F.col("run")).alias("run"))
+    r = r.select(F.col("run.tool.driver").alias("driver"), F.get("run.invocations", F.lit(0)).alias("invocation"))
+    written_as = {"boolean": "BOOLEAN", "int": "BIGINT", "string": "STRING", "array<string>": "ARRAY<STRING>"}  # a cast alone would take "yes" for true
+
+    def own(bag: str, name: str, kind: str, default: Column) -> Column:
+        at = F.col(f"{bag}.properties")
+        same = F.schema_of_variant(F.try_variant_get(at, f"$.{name}", "variant")) == written_as[kind]
+        return F.coalesce(F.when(same, F.try_variant_get(at, f"$.{name}", kind)), default).alias(name)
+
+    gate = F.nullif(own("invocation", "gate", "string", F.lit("")), F.lit(""))
+    took = F.unix_micros("invocation.endTimeUtc") - F.unix_micros("invocation.startTimeUtc")
+    return r.select(
+        F.col("driver.name").alias("tool"), F.col("driver.version").alias("version"), *(own("driver", n, "string", F.lit("")) for n in ("loadMode", "loadSummary", "configurationFingerprint")), own("driver", "optionOverridesActive", "boolean", F.lit(False)),
+        *(own("invocation", n, "int", F.lit(0)) for n in ("fileCount", "lineCount")), own("invocation", "partial", "boolean", F.lit(False)), F.greatest(F.coalesce(took, F.lit(0)) / 1e6, F.lit(0.0)).alias("seconds"), gate.alias("gate"),
+        F.when(gate.isNotNull(), own("invocation", "gatePassed", "boolean", F.lit(True))).alias("gatePassed"), F.when(gate.isNotNull(), own("invocation", "gateFailures", "array<string>", F.array().cast("array<string>"))).alias("gateFailures"),
+    )
+
+
 def property_or(bag: Column, path: str, kind: str, default: Column) -> Column:
     """A value of a JSON bag; the default where it is missing or of another type."""
     return F.coalesce(F.expr(f"try_variant_get({bag._jc.toString()}, '$.{path}', '{kind}')"), default)

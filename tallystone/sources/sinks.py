@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,25 @@ def write_report(findings: DataFrame, path: str, open_path: str | None = None) -
         rows.where(F.size("suppressions") == 0).write.mode("overwrite").json(open_path)
 
 
+def write_document(findings: DataFrame, path: str, version: str, driver: dict | None = None, invocation: dict | None = None, name: str = "tallystone") -> None:
+    """The report as one document with one run: its tool, one invocation and all results, as text in one file of the folder.
+
+    driver and invocation are bags of properties; `start` and `end` of an invocation are its
+    times in UTC.  A document is one file, so one task sorts and writes it, spilling to disk;
+    write_report() writes results in many files.  No findings give an empty list.
+    """
+    told = dict(invocation or {})
+    times = {k: told.pop(n) for n, k in (("start", "startTimeUtc"), ("end", "endTimeUtc")) if n in told}
+    run = {"tool": {"driver": {"name": name, "version": version, "properties": driver or {}}}, "invocations": [{"executionSuccessful": True, **times, "properties": told}]}
+    head = json.dumps({"version": "2.1.0", "runs": [run]})[: -len("}]}")] + ', "results": ['
+    spark = findings.sparkSession
+    ends = spark.createDataFrame([(0, head), (2, "]}]}")], "at int, value string")
+    results = report_rows(findings).select(F.lit(1).alias("at"), F.to_json(F.struct("*")).alias("value"))
+    order = Window.orderBy("at", "value")  # one file has one order, so one partition
+    d = ends.unionByName(results).withColumn("before", F.lag("at").over(order))
+    d.select(F.concat(F.when((F.col("at") == 1) & (F.col("before") == 1), ",").otherwise(""), "value").alias("value")).write.mode("overwrite").text(path)
+
+
 def baseline(verb: str, found: DataFrame, accepted: DataFrame | None, unreadable: DataFrame, owned_elsewhere: list[str] = (), key: str = "fingerprint") -> DataFrame:
     """The baseline after create, update (never removes), prune (keeps what still fires) or show.
 
@@ -92,9 +113,9 @@ def summary_line(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda m: F.concat(m["name"], F.lit(" "), F.when(m["value"].isNull(), "-").otherwise(F.format_string("%.1f", m["value"])))), ", ").alias("line"))
 
 
-def exit_code(passed: bool, incomplete: bool = False, bad_settings: bool = False, crashed: bool = False) -> int:
-    """0 passed, 1 the gate failed, 2 incomplete input, 3 bad settings, 5 a crash; the gravest wins."""
-    return 5 if crashed else 3 if bad_settings else 2 if incomplete else 0 if passed else 1
+def exit_code(passed: bool, incomplete: bool = False, bad_settings: bool = False, crashed: bool = False, nothing_loaded: bool = False, cancelled: bool = False) -> int:
+    """0 passed, 1 the gate failed, 2 incomplete input, 3 bad settings, 4 nothing could be loaded, 5 a crash, 130 cancelled; the gravest wins."""
+    return 130 if cancelled else 5 if crashed else 4 if nothing_loaded else 3 if bad_settings else 2 if incomplete else 0 if passed else 1
 
 
 def shortened(values, k: int = 25):

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallystone.functions import edits as ed
@@ -72,6 +73,26 @@ def test_report_round_trip(spark, tmp_path):
     assert rows(got, "rule_id", "severity", "line", "suppression", "bucket") == [("R1", 4, 3, "None", "New"), ("R2", 1, 4, "None", "Existing"), ("R3", 2, 5, "inSource", "New")]
 
 
+def test_document_round_trip(spark, tmp_path):
+    f = finding(spark, ("R1", 4, 'm"|n\n', "p", 3, "None", "New"), ("R2", 1, "m", "p", 4, "None", "Existing"), ("R2", 1, "m", "p", 4, "None", "Existing"))
+    at = str(tmp_path / "doc")
+    sk.write_document(f, at, "1.2.3", {"loadMode": "full", "optionOverridesActive": "yes"}, {"fileCount": 7, "gate": "strict", "gatePassed": False, "gateFailures": ["a", "b"], "start": "2024-01-01T00:00:00Z", "end": "2024-01-01T00:00:02.5Z"})
+    (file,) = (tmp_path / "doc").glob("part-*")
+    assert [len(r["results"]) for r in json.loads(file.read_text())["runs"]] == [3]
+    assert rows(fs.read_report(spark, at), "rule_id", "severity", "line", "suppression") == [("R1", 4, 3, "None"), ("R2", 1, 4, "None"), ("R2", 1, 4, "None")]
+    assert fs.read_run(spark, at).first().asDict() == {
+        "tool": "tallystone", "version": "1.2.3", "loadMode": "full", "loadSummary": "", "configurationFingerprint": "", "optionOverridesActive": False, "fileCount": 7, "lineCount": 0,
+        "partial": False, "seconds": 2.5, "gate": "strict", "gatePassed": False, "gateFailures": ["a", "b"],
+    }
+    sk.write_document(f.where("false"), str(tmp_path / "none"), "1")
+    assert fs.read_report(spark, str(tmp_path / "none")).isEmpty()
+    got = fs.read_run(spark, str(tmp_path / "none")).first()
+    assert (got["gate"], got["gatePassed"], got["gateFailures"], got["seconds"], got["fileCount"]) == (None, None, None, 0.0, 0)
+    (tmp_path / "bare.json").write_text('{"runs": []}')
+    with pytest.raises(PySparkException, match="no runs"):
+        fs.read_run(spark, str(tmp_path / "bare.json")).collect()
+
+
 def test_report_levels(spark):
     d = spark.createDataFrame([("note", None), ("note", "hint"), ("warning", "bad"), ("odd", None)], "level string, exact string")
     assert [r[0] for r in d.select(sc.severity_from_report(F.col("level"), F.col("exact"))).collect()] == ["suggestion", "hint", "warning", "warning"]
@@ -101,6 +122,7 @@ def test_history_and_trend(spark, tmp_path):
 
 def test_exit_codes():
     assert [sk.exit_code(True), sk.exit_code(False), sk.exit_code(True, incomplete=True), sk.exit_code(False, bad_settings=True), sk.exit_code(True, True, True, True)] == [0, 1, 2, 3, 5]
+    assert [sk.exit_code(True, bad_settings=True, nothing_loaded=True), sk.exit_code(True, crashed=True, nothing_loaded=True), sk.exit_code(True, crashed=True, cancelled=True)] == [4, 5, 130]
 
 
 def test_small_readers(spark, tmp_path):

@@ -53,6 +53,17 @@ def duplication(lines: DataFrame, by: Sequence[str]) -> DataFrame:
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("total_lines"), F.sum("dup").cast("bigint").alias("duplicated_lines")).withColumn("percent", percent(F.col("duplicated_lines"), F.col("total_lines")))
 
 
+def duplication_of(lines: DataFrame, by: Sequence[str], content: str) -> DataFrame:
+    """lines: (group columns, content), a row a line.  Like duplication(), with every row a line of its own and a line duplicated where its content comes twice in any group.
+
+    Lines are counted by content on the map side first, so one that is everywhere travels as a number.
+    """
+    d = lines.groupBy(*by, content).agg(F.count(F.lit(1)).alias("__n"))
+    twice = F.col(content).isNotNull() & (F.sum("__n").over(Window.partitionBy(content)) > 1)
+    d = d.withColumn("__dup", F.when(twice, F.col("__n")).otherwise(0))
+    return d.groupBy(*by).agg(F.sum("__n").alias("total_lines"), F.sum("__dup").alias("duplicated_lines")).withColumn("percent", percent(F.col("duplicated_lines"), F.col("total_lines")))
+
+
 # snapshots and releases
 
 

@@ -44,6 +44,20 @@ def test_duplication(spark):
     assert rl.duplication(l.limit(0), ["k"]).isEmpty()
 
 
+def test_duplication_pct_of_odd_texts_equals_sql(spark, tmp_path):
+    """Repeated ids, final line breaks, empty and null texts, white space beyond the blank, no source."""
+    import duckdb
+    from oracle import differences
+    from tallystone.plans.catalogue import ORACLES
+
+    d = [(1, "a\nb\n", "src1"), (1, "a\nb\n", "src1"), (2, "", "src2"), (3, None, "src2"), (4, "\u00a0b\u3000\r\nc\r", "src2"), (5, "z\n\ny", None), (5, "only\t", "src3"), (5, "only", "src3")]
+    spark.createDataFrame(d, "doc_id bigint, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    mine, theirs, n = differences(QUERIES["duplication_pct"](spark, str(tmp_path)), c, ORACLES["duplication_pct"])
+    assert not mine and not theirs and n == 3, (mine, theirs)
+
+
 def test_snapshot_diff_of_nulls(spark):
     b, a = spark.createDataFrame([(1, None), (2, "x"), (3, "x")], "k int, v string"), spark.createDataFrame([(1, None), (2, None), (4, "x")], "k int, v string")
     assert rows(rl.snapshot_diff(b, a, "k", ["v"])) == [(2, "changed", 3), (3, "removed", 3), (4, "added", 2)]

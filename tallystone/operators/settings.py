@@ -24,8 +24,9 @@ def with_owner(lines: DataFrame, by: Sequence[str], order: str, is_comment: Colu
 
     A comment's owner is the line that its unbroken run of comments stands on.
     """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return lines.withColumn("owner", F.first(F.when(~is_comment, F.col(order)), ignorenulls=True).over(w))
+    # from the end backwards: a frame that reaches to the end is worked out anew for every row
+    w = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("owner", F.last(F.when(~is_comment, F.col(order)), ignorenulls=True).over(w))
 
 
 def droppable(value: Column, default: Column, verified: Column, has_suffix: Column) -> Column:

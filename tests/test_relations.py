@@ -58,6 +58,14 @@ def test_duplication_pct_of_odd_texts_equals_sql(spark, tmp_path):
     assert not mine and not theirs and n == 3, (mine, theirs)
 
 
+def test_owners_of_a_long_document_take_one_pass(spark):
+    """A frame to the document's end would be worked out anew for each of its lines."""
+    l = spark.range(1, 2001).selectExpr("1 AS doc", "id AS line", "id % 4 > 0 OR id > 1990 AS c")
+    d = se.with_owner(l, ["doc"], "line", F.col("c"))
+    assert "unboundedfollowing" not in d._jdf.queryExecution().toString().lower()
+    assert rows(d, "line", "owner") == sorted([(i, next((k for k in range(i, 1991) if k % 4 == 0), None)) for i in range(1, 2001)], key=repr)
+
+
 def test_snapshot_diff_of_nulls(spark):
     b, a = spark.createDataFrame([(1, None), (2, "x"), (3, "x")], "k int, v string"), spark.createDataFrame([(1, None), (2, None), (4, "x")], "k int, v string")
     assert rows(rl.snapshot_diff(b, a, "k", ["v"])) == [(2, "changed", 3), (3, "removed", 3), (4, "added", 2)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw_key, nearest_rank, percent
+from ..session import parts_of
 
 # metrics and gate
 
@@ -238,10 +239,12 @@ def run_hashes(tokens: Column, k: int) -> Column:
 def clone_groups(docs: DataFrame, path: str, tokens: Column, k: int) -> DataFrame:
     """(first_path, first_pos, occurrences, across) of every run of k tokens that occurs twice or more.
 
-    Hashes travel instead of the tokens: 128 bits a run.  Which runs belong together into
-    longer clones is clone_extents()'s task.
+    Hashes travel instead of the tokens: 128 bits a run, and its place.  Most runs occur once,
+    so nothing is combined before they travel: that would sort every run twice, and make its
+    row longer.  Each is sorted once, where it arrives.  Which runs belong together
+    into longer clones is clone_extents()'s task.
     """
-    d = docs.select(F.col(path).alias("path"), F.posexplode(run_hashes(tokens, k)).alias("pos", "h")).select("path", "pos", "h.*")
+    d = docs.select(F.col(path).alias("path"), F.posexplode(run_hashes(tokens, k)).alias("pos", "h")).select("path", "pos", "h.*").repartition(parts_of(docs), "h1", "h2")
     g = d.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("path", "pos")).alias("f"), F.min("path").alias("lo"), F.max("path").alias("hi"))
     return g.where("occurrences > 1").select(F.col("f.path").alias("first_path"), F.col("f.pos").alias("first_pos"), "occurrences", (F.col("lo") != F.col("hi")).alias("across"))
 

@@ -66,6 +66,28 @@ def test_owners_of_a_long_document_take_one_pass(spark):
     assert rows(d, "line", "owner") == sorted([(i, next((k for k in range(i, 1991) if k % 4 == 0), None)) for i in range(1, 2001)], key=repr)
 
 
+def test_runs_of_clones_are_sorted_once(spark):
+    """Most runs occur once, so combining them before the shuffle would only sort, spill and widen them."""
+    d = spark.createDataFrame([(2, "a b c d"), (2, "b c d"), (1, "x a b c"), (3, "a a a a"), (4, None)], "k bigint, text string")
+    g = rl.clone_groups(d, "k", F.split("text", " "), 3)
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and plan.index("Aggregate") < plan.index("Exchange ") and "Aggregate" not in plan[plan.index("Exchange ") :]
+    assert rows(g) == [(1, 1, 2, True), (2, 0, 2, False), (3, 0, 2, False)]
+
+
+def test_parts_of_a_table(spark, monkeypatch):
+    """They grow with the table, slower once their rows no longer go straight to files; an unknown size takes the usual number."""
+    from tallystone import session
+
+    d = spark.range(1000)  # 8,000 bytes
+    monkeypatch.setattr(session, "PART_BYTES", 100)
+    monkeypatch.setattr(session, "LARGE_PART_BYTES", 800)
+    assert [session.parts_of(d), session.parts_of(spark.range(100_000)), session.parts_of(spark.range(1))] == [80, 1000, 4]
+    monkeypatch.setattr(session, "DIRECT", 50)
+    assert session.parts_of(d) == 50
+    assert session.parts_of(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) == 8
+
+
 def test_snapshot_diff_of_nulls(spark):
     b, a = spark.createDataFrame([(1, None), (2, "x"), (3, "x")], "k int, v string"), spark.createDataFrame([(1, None), (2, None), (4, "x")], "k int, v string")
     assert rows(rl.snapshot_diff(b, a, "k", ["v"])) == [(2, "changed", 3), (3, "removed", 3), (4, "added", 2)]

@@ -287,3 +287,48 @@ def test_further_renderings(spark):
     assert "\x1b[31m" in one("terminal") and one("terminal").endswith('R1: a < "b"')
     assert '"message":"a < \\"b\\""' in one("json")
     assert one("junit").startswith('<testcase classname="R1" name="p.cs"><failure type="') and 'message="a &lt; &quot;b&quot;"' in one("junit")
+
+
+def test_edits_take_little_memory_at_once():
+    """Two bytes a cell of the table, where a list takes eight and more; the same hunks as by definition."""
+    import random
+    import tracemalloc
+
+    def plain(x, y):
+        n, m = len(x), len(y)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    r = random.Random(7)
+    for _ in range(200):
+        a, b = [[r.choice("abc") for _ in range(r.randrange(12))] for _ in "12"]
+        h = ed.hunks(a, b)
+        assert len(a) - sum(x1 - x0 for x0, x1, _, _ in h) == plain(a, b)
+        out, at = [], 0
+        for x0, x1, y0, y1 in h:
+            out += a[at:x0] + b[y0:y1]
+            at = x1
+        assert out + a[at:] == b
+    a, b = [str(i) for i in range(700)], [str(i) for i in range(1, 1400, 2)]
+    tracemalloc.start()
+    ed.hunks(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_500_000  # 4,037,416 with lists
+
+
+@pytest.mark.parametrize("name", ["line_edits", "applied_edits", "unified_diffs"])
+def test_few_whole_texts_cross_to_python_at_once(spark, name):
+    from tallystone.plans.catalogue import QUERIES
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)

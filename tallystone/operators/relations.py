@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw_key, nearest_rank, percent
-from ..session import parts_of
+from ..session import dealt, parts_of
 
 # metrics and gate
 
@@ -261,20 +261,31 @@ def clone_extents(matches: DataFrame) -> DataFrame:
 
 
 def classify_sweep(rows: DataFrame, key: Sequence[str], theirs: str, ours: str, agree: Column) -> DataFrame:
-    """By how many outputs each side has and whether all agree."""
-    d = rows.groupBy(*key).agg(F.countDistinct(theirs).alias("theirs"), F.countDistinct(ours).alias("ours"), F.count_if(~agree).alias("differ"))
+    """By how many outputs each side has and whether all agree.
+
+    Rows are dealt by key, in parts that follow the table's size, and counted there.  A key's
+    few outputs are gathered, as counts of distinct ones would triple the rows and shuffle twice.
+    """
+    some = lambda c: F.size(F.collect_set(c)).cast("bigint")
+    r = dealt(rows.select(*key, F.col(theirs).alias("__t"), F.col(ours).alias("__o"), agree.alias("__agree")), *key)
+    d = r.groupBy(*key).agg(some("__t").alias("theirs"), some("__o").alias("ours"), F.count_if(~F.col("__agree")).alias("differ"))
     outcome = F.when((F.col("theirs") <= 1) & (F.col("ours") <= 1), "Unexercised").when(F.col("ours") <= 1, "Inert").when(F.col("theirs") <= 1, "Spurious").when(F.col("differ") == 0, "Conformant").otherwise("Divergent")
     return d.withColumn("outcome", outcome)
 
 
 def classify_pairs(rows: DataFrame, key: Sequence[str], agree: Column, baseline: Column, reached: Column, attributable: Column, outputs: str) -> DataFrame:
-    """The first that holds: baseline, unexercised, conformant, inherited (all of the rest), divergent (any), interaction only."""
-    bad = ~agree
-    d = rows.groupBy(*key).agg(
-        F.bool_and(baseline).alias("base"), F.countDistinct(outputs).alias("outputs"), F.bool_and(agree).alias("same"),
-        F.coalesce(F.bool_and(F.when(bad, attributable)), F.lit(True)).alias("inherited"), F.coalesce(F.bool_or(F.when(bad, reached)), F.lit(False)).alias("seen"),
+    """The first that holds: baseline, unexercised, conformant, inherited (all of the rest), divergent (any), interaction only.
+
+    Rows are dealt by key, in parts that follow the table's size.  One output at most is
+    a smallest that is the largest: a count of distinct ones would group every row twice more.
+    """
+    r = dealt(rows.select(*key, agree.alias("__agree"), baseline.alias("__base"), F.when(~agree, attributable).alias("__inherited"), F.when(~agree, reached).alias("__seen"), F.col(outputs).alias("__out")), *key)
+    d = r.groupBy(*key).agg(
+        F.bool_and("__base").alias("base"), F.min("__out").alias("least"), F.max("__out").alias("most"), F.bool_and("__agree").alias("same"),
+        F.coalesce(F.bool_and("__inherited"), F.lit(True)).alias("inherited"), F.coalesce(F.bool_or("__seen"), F.lit(False)).alias("seen"),
     )
-    outcome = F.when(~F.col("base"), "BaselineDiffers").when(F.col("outputs") <= 1, "Unexercised").when(F.col("same"), "Conformant").when(F.col("inherited"), "Inherited").when(F.col("seen"), "Divergent").otherwise("InteractionOnly")
+    one = F.col("least").eqNullSafe(F.col("most"))
+    outcome = F.when(~F.col("base"), "BaselineDiffers").when(one, "Unexercised").when(F.col("same"), "Conformant").when(F.col("inherited"), "Inherited").when(F.col("seen"), "Divergent").otherwise("InteractionOnly")
     return d.select(*key, outcome.alias("outcome"))
 
 

@@ -88,6 +88,13 @@ def test_parts_of_a_table(spark, monkeypatch):
     assert session.parts_of(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) == 8
 
 
+@pytest.mark.parametrize("name", ["sweep_classify", "pair_classify"])
+def test_sweeps_are_counted_where_rows_were_dealt(spark, name):
+    """One shuffle, in parts that follow the table's size: tables of all keys of a file, or of a fixed number of parts, grow with the input."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.rindex("Aggregate") < plan.index("Exchange ") and "REPARTITION_BY_NUM" in plan
+
+
 def test_snapshot_diff_of_nulls(spark):
     b, a = spark.createDataFrame([(1, None), (2, "x"), (3, "x")], "k int, v string"), spark.createDataFrame([(1, None), (2, None), (4, "x")], "k int, v string")
     assert rows(rl.snapshot_diff(b, a, "k", ["v"])) == [(2, "changed", 3), (3, "removed", 3), (4, "added", 2)]
